@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality, simhash
 from .common import documents
 
 
+def op1_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rule_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op2_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.forest_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -19,6 +27,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rule_quality": op1_rule_quality,
+    "op2_forest_quality": op2_forest_quality,
     "op5_simhash": op5_simhash,
 }
 
