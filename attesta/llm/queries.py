@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import packing, quality, simhash, token_counts
 from .common import documents
 
 
@@ -19,6 +19,11 @@ def op2_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.forest_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(documents(spark, sf_dir))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -26,10 +31,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_report(token_counts.length_histogram(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_quality": op1_rule_quality,
     "op2_forest_quality": op2_forest_quality,
+    "op3_best_two_fit": op3_best_two_fit,
     "op5_simhash": op5_simhash,
+    "op8_token_counts": op8_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
