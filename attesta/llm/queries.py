@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, token_counts
+from . import decontamination, licenses, packing, quality, simhash, token_counts
 from .common import documents
 
 
@@ -31,16 +31,42 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_report(token_counts.length_histogram(documents(spark, sf_dir)))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_quality": op1_rule_quality,
     "op2_forest_quality": op2_forest_quality,
     "op3_best_two_fit": op3_best_two_fit,
     "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(table: str, key: str, n: int) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS s
+        FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i
+              FROM (SELECT {key}, {_WORDS.format("text")} AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+    WITH d AS ({_shingles("documents", "doc_id", 5)}), b AS ({_shingles("benchmark", "item_id", 5)}),
+         n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+    SELECT doc_id, item_id, count(*) AS n_found, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles)::DOUBLE AS containment
+    FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)""",
+}
