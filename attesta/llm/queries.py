@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality, simhash, token_counts, toxicity
+from . import decontamination, licenses, packing, quality, simhash, substring, token_counts, toxicity
 from .common import documents
 
 
@@ -24,6 +24,11 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(documents(spark, sf_dir))
+    return found.withColumnsRenamed({"doc": "doc_id", "source": "source_doc_id"})
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rule_quality": op1_rule_quality,
     "op2_forest_quality": op2_forest_quality,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
     "op8_token_counts": op8_token_counts,
