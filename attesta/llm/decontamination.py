@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import union_all
+
 SHINGLE, CONTAINMENT, HASHES = 5, 0.8, 32
 #: Items whose signatures and shingles are shipped to the workers in one pass over the documents.
 ITEMS_PER_PASS = 20_000
@@ -146,16 +148,12 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     fewer than five words are one shingle of all their words, found only where a document is that
     short; null and wordless texts on either side match nothing. Repeated rows each count.
     """
-    spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[doc_col], items.schema[item_col].dataType.simpleString()
     arrow = pa.string() if item_kind == "string" else pa.int64()
     schema = f"doc {kind}, item {'string' if item_kind == 'string' else 'bigint'}, n_found bigint, n_shingles bigint, containment double"
     picked = docs.select(F.col(doc_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    passes, block = [], []
-
-    def one_pass(rows: list[tuple]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(Items.build(rows))
 
+    def one_pass(shipped) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, known = shipped.value, WordHashes()
             for b in batches:
@@ -167,19 +165,31 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
 
         return picked.mapInArrow(run, schema)
 
+    return union_all([one_pass(x) for x in _blocks(items, item_col, text_col)])
+
+
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> list:
+    """Broadcasts of ITEMS_PER_PASS items each; one at least. Rows come to the driver one partition at a time."""
+    context, blocks, rows = items.sparkSession.sparkContext, [], []
     for r in items.select(item_col, F.col(text_col).cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == ITEMS_PER_PASS:
-            passes.append(one_pass(block))
-            block = []
-    if block or not passes:
-        passes.append(one_pass(block))
-    found = passes[0]
-    for p in passes[1:]:
-        found = found.unionByName(p)
-    return found
-
-
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct ids of documents that hold an item."""
-    return contained_items(docs, items).select(F.col("doc").alias("doc_id")).distinct()
+        rows.append((r[0], r[1]))
+        if len(rows) == ITEMS_PER_PASS:
+            blocks.append(context.broadcast(Items.build(rows)))
+            rows = []
+    return [*blocks, context.broadcast(Items.build(rows))] if rows or not blocks else blocks
+
+
+def without_items(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that hold no item, all columns kept, without a shuffle."""
+    kept, at = docs, docs.columns.index(text_col)
+    for shipped in _blocks(items, item_col, "text"):
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            own, known = shipped.value, WordHashes()
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[row for row, *_ in own.search(b.column(at).cast(pa.binary()).to_pylist(), known)]] = False
+                yield b.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

@@ -132,12 +132,13 @@ def pack(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and its ids if asked for.
 
     Sequences hold at most ``limit`` tokens without gaps. Ids may be null or repeat; every row is
-    packed on its own. No documents give no rows. Ids themselves come from :func:`pieces`.
+    packed on its own. No documents give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    sized = pieces(docs, id_col, text_col, limit).drop("ids")
+    sized = pieces(docs, id_col, text_col, limit)
+    sized = sized if with_ids else sized.drop("ids")
     return pack(scratch.table(sized, "pieces"), limit)

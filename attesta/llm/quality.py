@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import fold
-from .statistics import COUNTS, FEATURES, labelled_sample, measure_batch, statistics
+from .common import fold, unused
+from .statistics import COUNTS, FEATURES, labelled_sample, measure_batch, statistics, with_statistics
 
 #: Labelled rows that either judge learns from at most.
 SAMPLE = 20_000
@@ -38,13 +38,14 @@ class RuleEnsemble:
     weights: np.ndarray
     bias: float
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the statistics columns."""
+    def column(self, of: str = "") -> Column:
+        """The score as a Spark expression over the statistics columns, or over those of a struct."""
+        feature = [F.col(f"{of}.{name}" if of else name) for name in FEATURES]
         margin = F.lit(self.bias)
         for rule, w in zip(self.rules, self.weights.tolist(), strict=True):
             holds = None
             for f, low, t in rule:
-                c = (F.col(FEATURES[f]) <= t) if low else (F.col(FEATURES[f]) > t)
+                c = (feature[f] <= t) if low else (feature[f] > t)
                 holds = c if holds is None else holds & c
             margin = margin + F.when(holds, w).otherwise(0.0)
         return 1 / (1 + F.exp(-margin))
@@ -117,6 +118,13 @@ def rule_quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Dat
     ).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that the rule ensemble scores at ``threshold`` or more, all columns kept."""
+    model = fit_rules(*training_rows(docs, labels, limit))
+    name = unused("quality", docs)
+    return with_statistics(docs, name).where(model.column(name) >= threshold).drop(name)
+
+
 #: Direction of features whose effect on quality is known beforehand.
 MONOTONE = {"symbol_ratio": -1, "pipe_ratio": -1, "bang_ratio": -1, "echo_ratio": -1, "repeat_ratio": -1}
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, unused
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -120,5 +120,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``docs`` with one row for each component: that of the smallest id. Rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, distance)
+    first = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
+    kept = docs.join(first, id_col, "left_semi")
+    nth = unused("nth", docs)
+    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where(F.col(nth) == 1).drop(nth)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

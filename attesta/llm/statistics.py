@@ -93,6 +93,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return picked.mapInArrow(_statistics, schema)
 
 
+def with_statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct column of RATIOS; all other columns stay in the JVM untouched."""
+
+    @F.pandas_udf(", ".join(f"{r} double" for r in RATIOS))
+    def ratios(text):
+        import pandas as pd
+
+        return pd.DataFrame([measure(t)[1] for t in text], columns=list(RATIOS))
+
+    return docs.withColumn(into, ratios(F.col(text_col).cast("string")))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) -> DataFrame:
     """Documents (doc_id, text, label) of at most ``limit`` labelled rows, chosen by hash of doc_id.
 
