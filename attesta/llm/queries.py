@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, packing, quality, simhash, substring, token_counts, toxicity
+from . import decontamination, licenses, mixing, packing, quality, simhash, substring, token_counts, toxicity
 from .common import documents
 
 
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_report(token_counts.length_histogram(documents(spark, sf_dir)))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_context_mixing": op7_context_mixing,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
