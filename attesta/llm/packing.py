@@ -32,8 +32,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
         encode = encoder(tokenizer).encode
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                all_ids = encode(text) + end
+            for i, all_ids in enumerate(encode(b.column(1).cast(pa.binary()).to_pylist())):
+                all_ids += end
                 for k, at in enumerate(range(0, len(all_ids), 4 * limit)):
                     part = all_ids[at : at + 4 * limit]
                     row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part)), ids.append(part)

@@ -20,7 +20,7 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for b in batches:
-            seen = pa.array([len(encode(t)) // 4 for t in b.column(0).cast(pa.binary()).to_pylist()], pa.int64()).value_counts()
+            seen = pa.array([len(ids) // 4 for ids in encode(b.column(0).cast(pa.binary()).to_pylist())], pa.int64()).value_counts()
             yield pa.record_batch([seen.field(0), seen.field(1)], ["tokens", "docs"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "tokens bigint, docs bigint")
