@@ -1,7 +1,7 @@
 """Registered queries and the SQL that each is checked against."""
 
-from . import checks, retrieval
+from . import checks, retrieval, streams
 from .registry import ORACLE_SQL, QUERIES
 from .retrieval import search
 
-__all__ = ["ORACLE_SQL", "QUERIES", "checks", "retrieval", "search"]
+__all__ = ["ORACLE_SQL", "QUERIES", "checks", "retrieval", "search", "streams"]

@@ -23,7 +23,7 @@ def scan(spark: SparkSession, root: str, source: Source, suffix: str = "md") ->
     clean = base.split("://", 1)[-1].lstrip("/")
     file = F.regexp_replace("path", rf"^[a-z]+:/*{clean.replace('.', '[.]')}/", "")
     rows = raw.where(~F.col("path").rlike(PRUNED)).withColumn("file", file).where(~F.col("file").rlike(LEDGERS))
-    return rows.select(F.lit(key).alias("source"), "file", "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", F.lit("utf-8")).alias("text"))
+    return rows.select(F.lit(key).alias("source"), "file", "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "utf-8").alias("text"))
 
 
 def load_chunks(spark: SparkSession, root: str, sources: list[Source], skip: tuple[str, ...] = ()) -> DataFrame:
