@@ -80,14 +80,17 @@ def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS
                 if len(s) < least:
                     continue
                 near, wide = _run_hashes(s, NEAR), _run_hashes(s, WIDE)
-                for h in range(hashes):
-                    found = np.fromiter((at for _, at, _ in compact_windows(mixed(s, h), least)), np.int64)
-                    for side, (begin, far) in enumerate(((found - NEAR + 1, found - WIDE + 1), (found, found))):
-                        ok = (begin >= 0) & (begin < len(near))
-                        rows.append(np.full(int(ok.sum()), row)), ats.append(found[ok]), hs.append(np.full(int(ok.sum()), h, np.int8))
-                        signs.append(mixed(near[begin[ok]] + np.uint64(2 * h + side), 1))
-                        inside = (far >= 0) & (far < len(wide))
-                        wides.append(np.where(inside, wide[np.clip(far, 0, len(wide) - 1)], 0)[ok] if len(wide) else np.zeros(int(ok.sum()), np.uint64))
+                found = [[at for _, at, _ in compact_windows(mixed(s, h), least)] for h in range(hashes)]
+                at = np.array([a for f in found for a in f], np.int64)
+                at, h = np.concatenate([at, at]), np.tile(np.repeat(np.arange(hashes), list(map(len, found))), 2)
+                side = np.arange(len(at)) >= len(at) // 2
+                begin, far = at - np.where(side, 0, NEAR - 1), at - np.where(side, 0, WIDE - 1)
+                ok = (begin >= 0) & (begin < len(near))
+                at, h, side, begin, far = at[ok], h[ok], side[ok], begin[ok], far[ok]
+                rows.append(np.full(len(at), row)), ats.append(at), hs.append(h.astype(np.int8))
+                signs.append(mixed(near[begin] + (2 * h + side).astype(np.uint64), 1))
+                inside = (far >= 0) & (far < len(wide))
+                wides.append(np.where(inside, wide[np.clip(far, 0, len(wide) - 1)], np.uint64(0)))
             if not rows:
                 continue
             join = np.concatenate
@@ -120,8 +123,9 @@ def collisions(signs: DataFrame) -> DataFrame:
     return rows.groupBy("later", "earlier").agg(F.collect_set("hit").alias("hits")).where(F.size(F.array_distinct(F.col("hits.h"))) >= ENOUGH)
 
 
-def passages(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int, int]], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
-    """(start in x, words, start in y, similarity) of near-duplicate passages around shared signatures.
+def passages(x: np.ndarray, y: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
+    """(start in x, words, start in y, similarity) of near-duplicate passages around shared signatures,
+    given as arrays of hash functions, places in x and places in y.
 
     Hits join along their diagonals; where enough hash functions agree, the shingles equal on the
     diagonals found are merged over small gaps, and a run stands if its exact Jaccard similarity
@@ -129,8 +133,8 @@ def passages(x: np.ndarray, y: np.ndarray, hits: list[tuple[int, int, int]], min
     """
     least = min_words - SHINGLE + 1
     diagonals: dict[int, set[int]] = {}
-    for h, i, j in hits:
-        diagonals.setdefault(i - j, set()).add(h)
+    for h, d in set(zip(hits[0].tolist(), (hits[1] - hits[2]).tolist(), strict=True)):
+        diagonals.setdefault(d, set()).add(h)
     found: list[tuple[int, int, int, float]] = []
     clusters: list[list[int]] = []
     for d in sorted(diagonals):
@@ -206,11 +210,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             rows, out = [], []
             last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            xs, ys, hits = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), b.column(4).to_pylist()
-            for row in range(b.num_rows):
+            xs, ys = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()
+            cuts, all_hits = b.column(4).offsets.to_pylist(), b.column(4).values
+            h, i, j = (all_hits.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            for row, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if xs[row] == ys[row]:  # copies are one passage, and holding signatures they are long enough
+                    rows.append(row), out.append((0, len(xs[row].split()), 0, 1.0))
+                    continue
                 if ys[row] != last[0]:
                     last = (ys[row], tokens(ys[row], known))
-                for p in passages(tokens(xs[row], known), last[1], [(v["h"], v["x"], v["y"]) for v in hits[row]]):
+                for p in passages(tokens(xs[row], known), last[1], (h[lo:hi], i[lo:hi], j[lo:hi])):
                     rows.append(row), out.append(p)
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             start, words, other, like = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True))
