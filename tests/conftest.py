@@ -32,7 +32,3 @@ def duck():
     for f in os.listdir(SF):
         c.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
     return c
-
-
-def rows(df, *columns):
-    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import PySparkException
 
 from attesta import rpc
