@@ -64,11 +64,14 @@ def _run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(sign, wide, doc, at, h): for each compact window, the ten shingles that end at its minimum
+    """(sign, wide, doc, at, h, other): for each compact window, the ten shingles that end at its minimum
     and the ten that begin there, hashed with the number of the hash function and the side.
 
     A passage of ``min_words`` has room for one side or the other, so its holders share a signature
-    under every hash function, while a short common phrase gives none.
+    under every hash function, while a short common phrase gives none. Rows of a batch that also
+    agree in their wider surroundings are joined at once: the smallest document goes on alone for
+    them, and the others carry it as ``other`` under a number of their own. So a passage that a
+    third of the corpus holds makes few rows in any group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +96,21 @@ def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS
                 wides.append(np.where(inside, wide[np.clip(far, 0, len(wide) - 1)], np.uint64(0)))
             if not rows:
                 continue
-            join = np.concatenate
-            arrays = [pa.array(join(signs).view(np.int64)), pa.array((join(wides) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-            yield pa.record_batch([*arrays, b.column(0).take(pa.array(join(rows))), pa.array(join(ats).astype(np.int32)), pa.array(join(hs))], ["sign", "wide", "doc", "at", "h"])
+            sign, wide, row, at, h = map(np.concatenate, (signs, wides, rows, ats, hs))
+            _, place = np.unique(np.array(b.column(0).to_pylist()), return_inverse=True)  # order of the documents' ids
+            order = np.lexsort((at, place[row], np.where(wide == 0, at, -1), wide, sign))
+            sign, wide, row, at, h = sign[order], wide[order], row[order], at[order], h[order]
+            same = (sign[1:] == sign[:-1]) & (wide[1:] == wide[:-1]) & ((wide[1:] != 0) | (at[1:] == at[:-1]))
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(sign)), 0))
+            joined = place[row] != place[row[head]]
+            sign = np.where(joined, mixed(sign ^ (place[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 2), sign)
+            ids = b.column(0)
+            other = pa.StructArray.from_arrays([ids.take(pa.array(row[head])), pa.array(at[head].astype(np.int32))], ["doc", "at"], mask=pa.array(~joined))
+            arrays = [pa.array(sign.view(np.int64)), pa.array((wide >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row))]
+            yield pa.record_batch([*arrays, pa.array(at.astype(np.int32)), pa.array(h), other], ["sign", "wide", "doc", "at", "h", "other"])
 
     kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(run, f"sign bigint, wide int, doc {kind}, at int, h tinyint")
+    return docs.mapInArrow(run, f"sign bigint, wide int, doc {kind}, at int, h tinyint, other struct<doc: {kind}, at: int>")
 
 
 def collisions(signs: DataFrame) -> DataFrame:
@@ -111,9 +123,11 @@ def collisions(signs: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("sign").orderBy("doc", "at")
     first = F.first(F.struct("doc", "at")).over(by_doc)
     rows = signs.select("*", first.alias("first"), F.lead("doc").over(by_doc).alias("next"))
-    rows = rows.where("first.doc <> doc OR next <> doc")
+    rows = rows.where("other IS NOT NULL OR first.doc <> doc OR next <> doc")
     before = F.lag(F.struct("doc", "at")).over(Window.partitionBy("sign").orderBy("wide", "doc", "at"))
-    rows = rows.select("doc", "at", "h", F.array_distinct(F.array("first", before)).alias("others"))
+    rows = rows.select("doc", "at", "h", "other", "first", before.alias("before"))
+    others = F.when(F.col("other").isNotNull(), F.array("other")).otherwise(F.array_distinct(F.array("first", "before")))
+    rows = rows.select("doc", "at", "h", others.alias("others"))
     rows = rows.select("doc", "at", "h", F.explode("others").alias("other")).where("other.doc <> doc")
     swap = F.col("other.doc") > F.col("doc")
     rows = rows.select(
@@ -200,7 +214,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = scratch.table(collisions(signatures(texts)), "pairs")
     n = pairs.count()
     ids = pairs.select(F.col("later").alias("doc")).unionByName(pairs.select(F.col("earlier").alias("doc"))).distinct()
-    kept = _only(texts, ids, 2 * n).groupBy("doc").agg(F.max("text").alias("text"))
+    # a table, so that the joins below read plain shuffles, which adaptive execution can split where
+    # one document is the source of many
+    kept = scratch.table(_only(texts, ids, 2 * n).groupBy("doc").agg(F.max("text").alias("text")), "texts")
     both = pairs.join(kept.select(F.col("doc").alias("later"), F.col("text").alias("x")), "later")
     both = both.join(kept.select(F.col("doc").alias("earlier"), F.col("text").alias("y")), "earlier")
     kind = dict(texts.dtypes)["doc"]
