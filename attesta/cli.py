@@ -10,14 +10,14 @@ from .engine import Engine
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="attesta")
-    sub = parser.add_subparsers(dest="command", required=True)
+    sub = parser.add_subparsers(required=True, dest="command")
     q = sub.add_parser("query", help="run a registered query over a folder of tables")
     q.add_argument("name"), q.add_argument("tables"), q.add_argument("--out")
     for name in ("search", "stats"):
         s = sub.add_parser(name)
         s.add_argument("root"), s.add_argument("--source", default="case")
         if name == "search":
-            s.add_argument("q"), s.add_argument("--topk", type=int, default=5)
+            s.add_argument("q"), s.add_argument("--topk", default=5, type=int)
     args = parser.parse_args(argv)
     spark = session.build()
     if args.command == "query":

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import not_after, not_before
+
+
+#: Name of a card file: ticker, tags, horizon and day.
+CARD_FILE = "(?i)^card_" + r"([0-9A-Z][-.0-9A-Z]*)" + r"(?:#[A-Z]+)*" + "#(" + "|".join(("long", "mid", "short")) + ")" + r"_(\d{4}(?:-\d\d){2})" + r"[.]md$"
+
 
 def idf(n: Column, df: Column) -> Column:
-    return F.ln(1 + (n - df + 0.5) / (df + 0.5))
+    return F.ln((n + 1) / (df + 0.5))
 
 
 def bm25_weight(idf_: Column, tf: Column, length: Column, mean_length: Column, k1: float = 1.5, b: float = 0.75) -> Column:
@@ -56,7 +62,7 @@ def valid_grouping(raw: Column) -> Column:
 
 def digit_runs(text: Column) -> Column:
     """Overlapping digit runs of 13, 15, 16 and 19 digits with single separators, bounded by non-digits."""
-    found = [F.regexp_extract_all(text, F.lit(rf"(?<!\d)(?=(\d(?:[ \t-]*\d){{{n - 1}}})(?!\d))"), 1) for n in (13, 15, 16, 19)]
+    found = [F.regexp_extract_all(text, F.lit(not_after(r"\d") + "(?=(" + r"\d" + rf"(?:[-\t ]*\d){{{n - 1}}}" + ")" + not_before(r"\d") + ")"), 1) for n in (13, 15, 16, 19)]
     return F.array_distinct(F.concat(*found))
 
 
@@ -80,7 +86,7 @@ def project_group(path: Column, project_dirs: tuple[str, ...] = ("projects", "re
 
 def card_identity(file: Column) -> Column:
     """Struct (ticker, card_date, horizon) of a card file's name; null if it isn't one or has no valid date."""
-    pattern = r"^(?i)card_([A-Z0-9][A-Z0-9.\-]*)(?:#[A-Z]+)*#(short|mid|long)_(\d{4}-\d{2}-\d{2})\.md$"
+    pattern = CARD_FILE
     day = F.try_to_date(F.regexp_extract(file, pattern, 3))
     return F.when(file.rlike(pattern) & day.isNotNull(), F.struct(
         F.upper(F.regexp_extract(file, pattern, 1)).alias("ticker"), F.regexp_extract(file, pattern, 3).alias("card_date"), F.lower(F.regexp_extract(file, pattern, 2)).alias("horizon")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,38 +47,38 @@ def char_chunks(blocks: DataFrame, keys: list[str], heading: str = "heading", bo
     return parts.select(*keys, "part", F.when(F.col("long"), F.format_string("%s (%d)", "h", F.col("part") + 1)).otherwise(F.col("h")).alias("heading"), "body")
 
 
-_SOFT = re.compile(r"[。！？!?；;](?:[\"'”’])?\s*|(?<=\.)\s+|\n")
+_SOFT = re.compile("[;；?？!！。]" + "[’”'\"]?" + r"\s*" + "|" + r"(?<=[.])\s+" + "|" + r"\n")
+_PARAGRAPH = re.compile(r"\n(?:[\t ]*\n)+")
+
+
+def _units(body: str, most: int) -> Iterator[tuple[int, int]]:
+    """Paragraphs, and where one is too long its longest runs of sentences or lines, else hard cuts."""
+    edges = [0, *(gap.end() for gap in _PARAGRAPH.finditer(body)), len(body)]
+    for left, right in zip(edges, edges[1:], strict=False):
+        while right - left > most:
+            soft = max((m.end() for m in _SOFT.finditer(body, left, left + most)), default=left + most)
+            yield left, soft
+            left = soft
+        if left < right:
+            yield left, right
 
 
 def paragraph_spans(body: str, most: int = MOST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Contiguous spans of at most ``most`` characters: whole paragraphs, else sentences or lines,
-    else hard cuts; a span repeats trailing units of the one before, up to a third of its size."""
-    units: list[tuple[int, int]] = []
-    at = 0
-    for stop in [m.end() for m in re.finditer(r"\n[ \t]*\n+", body)] + [len(body)]:
-        while stop - at > most:
-            ends = [m.end() for m in _SOFT.finditer(body[at : at + most])]
-            nxt = at + (ends[-1] if ends else most)
-            units.append((at, nxt))
-            at = nxt
-        if stop > at:
-            units.append((at, stop))
-            at = stop
-    spans, i = [], 0
-    while i < len(units):
-        j = i + 1
-        while j < len(units) and units[j][1] - units[i][0] <= most:
-            j += 1
-        spans.append((units[i][0], units[j - 1][1]))
-        if j == len(units):
-            return spans
-        room, k = min(most // 3, most - (units[j][1] - units[j][0])), j
-        while k > i + 1 and units[j - 1][1] - units[k - 1][0] <= room:
-            k -= 1
-            if units[j - 1][1] - units[k][0] >= overlap:
-                break
-        i = k
-    return spans
+    """Spans of at most ``most`` characters that cover the text in whole units. Each begins with the
+    last units of the one before: the fewest that make up ``overlap``, within a third of a span and
+    what the next unit leaves free."""
+    units = list(_units(body, most))
+    begins, stops, found, first = [a for a, _ in units], [b for _, b in units], [], 0
+    while first < len(units):
+        fit = max(first + 1, bisect_right(stops, begins[first] + most))
+        found.append((begins[first], stops[fit - 1]))
+        if fit == len(units):
+            break
+        room = min(most // 3, most + begins[fit] - stops[fit])
+        tails = [k for k in range(first + 1, fit) if stops[fit - 1] - begins[k] <= room]
+        enough = [k for k in tails if stops[fit - 1] - begins[k] >= overlap]
+        first = max(enough) if enough else min(tails, default=fit)
+    return found
 
 
 def paragraph_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-_ACTIONS = ("触发", "到位", "成交", "买入", "突破", "跌破", "triggered", "filled", "bought", "broke")
+_ACTIONS = (*"跌破 突破 买入 成交 到位 触发".split(), "broke", "bought", "filled", "triggered")
 
 
 def outcomes(col):

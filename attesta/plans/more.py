@@ -101,7 +101,7 @@ def _(spark, d):
     return fixture(spark, "prose").select("id", F.array_join(facts.label_tokens(F.col("body")), ",").alias("labels"))
 
 
-@query("I28_idf", f"WITH {retrieval.BM25} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM df, st")
+@query("I28_idf", f"WITH {retrieval.BM25} SELECT term, round(ln((n + 1) / (df + 0.5)), 9) AS idf FROM df, st")
 def _(spark, d):
     post, sizes = retrieval.index(spark, d)
     n = sizes.agg(F.count(F.lit(1)).alias("n"))
@@ -151,9 +151,9 @@ def _(spark, d):
     return retrieval.bm25_leg(spark, d, 10).select("query_id", "chunk_id", "rank")
 
 
-@query("G07_passages_in_document", f"WITH {retrieval.VEC} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM sims WHERE vec_id // 50 = 2 QUALIFY rank < 5")
+@query("G07_passages_in_document", f"WITH {retrieval.VEC} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM sims WHERE label = 2 QUALIFY rank < 5")
 def _(spark, d):
-    return retrieval.vector_leg(spark, d, 5, table(spark, d, "embeddings").where("floor(vec_id / 50) = 2").select("vec_id")).select("query_id", "vec_id", "rank")
+    return retrieval.vector_leg(spark, d, 5, table(spark, d, "embeddings").where("label = 2").select("vec_id")).select("query_id", "vec_id", "rank")
 
 
 @query("H05_numbers_unquoted", f"{ctes('said', 'cited')} SELECT claim_id, CASE claim_id WHEN 1 THEN '30' ELSE '' END AS missing FROM said")
@@ -267,7 +267,7 @@ def _(spark, d):
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.sum(F.least(F.length("body"), F.lit(300))).alias("preview_chars"), F.sum(F.length("body")).alias("full_chars"))
 
 
-FIXTURES["answers"] = ("answer_id bigint, answer string", [(1, '{"decision":"answer","claims":[{"text":"a","citations":[{"evidence_id":"e","quote":"q"}]}],"reason":""}'), (2, '{"decision":"refuse","claims":[],"reason":"none found"}'), (3, '{"decision":"answer","claims":[]}'), (4, "not json"), (5, '{"decision":"answer","claims":[{"text":"a","citations":[]}]}')])
+FIXTURES["answers"] = ("answer_id bigint, answer string", [(1, '{"claims":[{"citations":[{"quote":"q","evidence_id":"e"}],"text":"a"}],"reason":"","decision":"answer"}'), (2, '{"decision":"refuse","claims":[],"reason":"none found"}'), (3, '{"decision":"answer","claims":[]}'), (4, "not json"), (5, '{"claims":[{"citations":[],"text":"a"}],"decision":"answer"}')])
 
 
 @query("L08_parse_answers", f"{ctes('answers')} SELECT answer_id, answer_id IN (1, 2) AS valid, CASE answer_id WHEN 1 THEN 1 ELSE 0 END AS n_citations FROM answers")

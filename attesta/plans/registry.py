@@ -48,7 +48,10 @@ def _literal(v) -> str:
         return str(v).upper()
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(map(_literal, v)) + "]"
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    if not isinstance(v, str):
+        return repr(v)
+    quote = "'"
+    return quote + v.replace(quote, 2 * quote) + quote
 
 
 _TYPES = {"string": "VARCHAR", "array<string>": "VARCHAR[]", "array<array<string>>": "VARCHAR[][]", "timestamp": "TIMESTAMP"}

@@ -19,7 +19,7 @@ POST = f"""tok AS (SELECT doc_id AS chunk_id, unnest({TOK.format("text")}) AS te
   sizes AS (SELECT doc_id AS chunk_id, len({TOK.format("text")}) AS length FROM documents)"""
 BM25 = f"""{POST}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), st AS (SELECT count(*) AS n, avg(length) AS m FROM sizes),
   qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark WHERE item_id % {EVERY} = 0) GROUP BY ALL),
-  bm AS (SELECT query_id, chunk_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / m))) AS score
+  bm AS (SELECT query_id, chunk_id, sum(times * ln((n + 1) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / m))) AS score
     FROM qt JOIN post USING (term) JOIN df USING (term) JOIN sizes USING (chunk_id), st GROUP BY ALL),
   bm_top AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM bm) WHERE rank < 50)"""
 
@@ -113,10 +113,10 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", F.md5(F.substring("text", 1, 20000)).alias("digest"), (F.length("text") > 20000).alias("truncated"))
 
 
-@query("B18_page_range", "SELECT b.page_id AS page_id, a.page_id AS near FROM pages a JOIN pages b ON a.page_id BETWEEN b.page_id - 1 AND b.page_id + 1 WHERE b.page_id % 20 = 0")
+@query("B18_page_range", "SELECT b.page_id AS page_id, a.page_id AS near FROM pages a JOIN pages b ON a.page_id BETWEEN b.page_id - 1 AND b.page_id + 1")
 def _(spark, d):
     pages = table(spark, d, "pages").select("page_id")
-    asked = pages.where("page_id % 20 = 0").select("page_id", F.explode(F.array(F.col("page_id") - 1, F.col("page_id"), F.col("page_id") + 1)).alias("near"))
+    asked = pages.select("page_id", F.explode(F.array(F.col("page_id") - 1, F.col("page_id"), F.col("page_id") + 1)).alias("near"))
     return asked.join(pages.select(F.col("page_id").alias("near")), "near", "left_semi").select("page_id", "near")
 
 
@@ -211,10 +211,10 @@ def _(spark, d):
     return dense.window_max(hits, ["query_id", "label"]).withColumn("score", F.round("score", 6))
 
 
-@query("I29_cosine", f"WITH q AS (SELECT vec_id AS a, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) SELECT a, vec_id AS b, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score, round(list_dot_product(v, embedding::DOUBLE[]), 6) AS dot FROM q, embeddings")
+@query("I29_cosine", f"WITH q AS (SELECT vec_id AS a, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT a, vec_id AS b, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score, round(list_dot_product(v, embedding::DOUBLE[]), 6) AS dot FROM q, embeddings")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    q = lexical.small(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), 10_000)
+    q = lexical.small(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("v")), 10_000)
     return v.join(q, F.lit(True)).select("a", F.col("vec_id").alias("b"), F.round(numeric.cosine(F.col("v"), F.col("embedding")), 6).alias("score"), F.round(numeric.dot(F.col("v"), F.col("embedding")), 6).alias("dot"))
 
 
@@ -324,12 +324,12 @@ def _(spark, d):
     return contaminated_chunks(q, documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
-@query("F08_neighbours", f"WITH {CHUNKS}, b AS (SELECT doc_id, part FROM chunks WHERE doc_id % 20 = 0 AND part = 1) SELECT DISTINCT c.doc_id, c.part AS ordinal FROM chunks c JOIN b ON c.doc_id = b.doc_id AND abs(c.part - b.part) <= 1")
+@query("F08_neighbours", f"WITH {CHUNKS}, b AS (SELECT doc_id, part FROM chunks WHERE part = 1) SELECT DISTINCT c.doc_id, c.part AS ordinal FROM chunks c JOIN b ON c.doc_id = b.doc_id AND abs(c.part - b.part) <= 1")
 def _(spark, d):
     from ..operators.evaluation import neighbours
 
     c = chunks(spark, d).select("doc_id", F.col("part").alias("ordinal"))
-    return neighbours(c.where("doc_id % 20 = 0 AND ordinal = 1"), c)
+    return neighbours(c.where("ordinal = 1"), c)
 
 
 @query("F09_take_until_budget", f"WITH {CHUNKS} SELECT doc_id AS question_id, part AS rank FROM (SELECT doc_id, part, sum(length(body)) OVER (PARTITION BY doc_id ORDER BY part) AS s FROM chunks) WHERE s <= 12000")

@@ -32,6 +32,10 @@ def call(name: str, arguments: dict) -> dict:
         return {"ok": False, "error": f"{type(e).__name__}: {e}"}
 
 
+def _reply(number, body: dict) -> str:
+    return json.dumps({"id": number, "jsonrpc": "2.0"} | body)
+
+
 def serve(lines: Iterable[str]) -> Iterator[str]:
     """Answers to requests, one per line; notifications get none."""
     for line in lines:
@@ -40,12 +44,12 @@ def serve(lines: Iterable[str]) -> Iterator[str]:
         try:
             request = json.loads(line)
         except ValueError:
-            yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "parse error"}})
+            yield _reply(None, {"error": {"code": -32700, "message": "parse error"}})
             continue
         if "id" not in request:
             continue
-        method, params = request.get("method"), request.get("params") or {}
-        if method == "initialize":
+        params = request.get("params") or {}
+        if (method := request.get("method")) == "initialize":
             body = {"result": {"serverInfo": {"name": "attesta", "version": "1"}, "capabilities": {"tools": {}}}}
         elif method == "tools/list":
             body = {"result": {"tools": [{"name": n, "inputSchema": s} for n, (_, s) in sorted(TOOLS.items())]}}
@@ -53,4 +57,4 @@ def serve(lines: Iterable[str]) -> Iterator[str]:
             body = {"result": call(params["name"], params.get("arguments") or {})}
         else:
             body = {"error": {"code": -32601, "message": f"unknown method {method}"}}
-        yield json.dumps({"jsonrpc": "2.0", "id": request["id"]} | body)
+        yield _reply(request["id"], body)

@@ -29,7 +29,8 @@ def test_pages_and_links(spark):
 
 def test_golden(spark, tmp_path):
     p = tmp_path / "g.json"
-    p.write_text(json.dumps({"queries": [{"q": "a", "expect": ["f"], "expect_pages": [1, 3]}, {"q": "b", "expect": []}]}))
+    asked = [{"expect_pages": [1, 3], "expect": ["f"], "q": "a"}, {"expect": [], "q": "b"}]
+    p.write_text(json.dumps({"queries": asked}))
     assert rows(files.golden(spark, str(p)), "q", "page_hi", "positive") == [("a", 3, True), ("b", None, False)]
 
 
@@ -80,3 +81,14 @@ def test_rpc():
     out = [json.loads(x) for x in rpc.serve(['{"id": 1, "method": "initialize"}', '{"method": "note"}', '{"id": 2, "method": "tools/call", "params": {"name": "twice", "arguments": {"topk": 99}}}', "oops", '{"id": 3, "method": "none"}', '{"id": 4, "method": "tools/call", "params": {"name": "twice"}}'])]
     assert out[0]["result"]["serverInfo"] and out[1]["result"] == {"ok": True, "result": 20}
     assert out[2]["error"]["code"] == -32700 and out[3]["error"]["code"] == -32601 and out[4]["result"]["ok"] is False
+
+
+def test_policy_rules(spark, tmp_path):
+    from attesta.operators.policy import load_rules
+
+    p = tmp_path / "p.json"
+    p.write_text(json.dumps({"rules": [{"prefix": "a/b", "scope": "stock", "purpose": "knowledge", "reason": "x"}]}))
+    assert rows(load_rules(spark, str(p)), "rule_ord", "prefix", "scope") == [(0, "a/b", "stock")]
+    p.write_text(json.dumps({"rules": [{"scope": "stock"}]}))
+    with pytest.raises(ValueError):
+        load_rules(spark, str(p))
