@@ -206,8 +206,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> D
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Votes(voters)
         for b in batches:
-            rows = [np.packbits(own.row(t)[:-2].astype(bool)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            hits = [float(own.row(t)[-1]) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            found = [own.row(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            rows, hits = [np.packbits(x[:-2].astype(bool)).tobytes() for x in found], [float(x[-1]) for x in found]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.binary()), pa.array(hits), b.column(2)], ["doc_id", "votes", "hits", "label"])
 
     rows = sample.select("doc_id", "text", "label").mapInArrow(vote, f"doc_id {kind}, votes binary, hits double, label int").toPandas().sort_values("doc_id")

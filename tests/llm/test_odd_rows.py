@@ -53,8 +53,10 @@ def test_stages_keep_columns_and_clean_rows(odd, labelled, items):
     assert simhash.one_of_each(odd).columns == odd.columns
     kept = rows(simhash.one_of_each(odd), "doc_id")
     assert kept.count((5,)) == 1 and (None,) in kept and (1,) in kept and (2,) not in kept
-    cut = substring.without_repeats(odd)
-    assert cut.columns == odd.columns and cut.count() == odd.count()
+    wide = odd.withColumn("spans", odd["id"]).withColumn("nth", odd["id"]).withColumn("start", odd["id"])
+    cut = substring.without_repeats(wide)
+    assert cut.columns == wide.columns and cut.count() == wide.count()
+    assert simhash.one_of_each(wide).columns == wide.columns
     clean = decontamination.without_items(odd, items)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 1
     good = quality.keep_good(odd.withColumnRenamed("id", "quality"), labelled[1])
