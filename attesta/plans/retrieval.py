@@ -218,7 +218,7 @@ def _(spark, d):
     return v.join(q, F.lit(True)).select("a", F.col("vec_id").alias("b"), F.round(numeric.cosine(F.col("v"), F.col("embedding")), 6).alias("score"), F.round(numeric.dot(F.col("v"), F.col("embedding")), 6).alias("dot"))
 
 
-LEGS = f"""{VEC}, ids AS (SELECT query_id, dense_rank() OVER (ORDER BY query_id) AS n FROM (SELECT DISTINCT query_id FROM bm)), vids AS (SELECT query_id, dense_rank() OVER (ORDER BY query_id) AS n FROM q),
+LEGS = f"""{VEC}, ids AS (SELECT query_id, dense_rank() OVER (ORDER BY query_id) AS n FROM (SELECT DISTINCT query_id FROM qt)), vids AS (SELECT query_id, dense_rank() OVER (ORDER BY query_id) AS n FROM q),
   legs AS (SELECT query_id, 'bm25' AS leg, chunk_id, rank, score FROM bm_top UNION ALL
     SELECT i.query_id, 'vec', vec_id, rank, score FROM vec v JOIN vids USING (query_id) JOIN ids i USING (n) WHERE rank < 50),
   keyed AS (SELECT legs.*, source || '/d' || (chunk_id // 4) AS unit FROM legs JOIN documents ON doc_id = chunk_id)"""
@@ -229,10 +229,11 @@ def legs(spark, d):
     from pyspark.sql.window import Window
 
     bm = bm25_leg(spark, d).select("query_id", F.lit("bm25").alias("leg"), "chunk_id", "rank", "score")
-    order = Window.orderBy("query_id")
-    ids = bm.select("query_id").distinct().withColumn("n", F.row_number().over(order))
+    # numbered from the query sets themselves, which are small, so that neither leg runs twice
+    ids = questions(spark, d).select("query_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("query_id")))
     vec = vector_leg(spark, d)
-    vids = vec.select(F.col("query_id").alias("v")).distinct().withColumn("n", F.row_number().over(Window.orderBy("v")))
+    asked = table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("v"))
+    vids = asked.distinct().withColumn("n", F.row_number().over(Window.orderBy("v")))
     named = ids.join(vids, "n").select("v", F.col("query_id").alias("own"))
     vec = vec.join(F.broadcast(named), vec.query_id == named.v).select(F.col("own").alias("query_id"), F.lit("vec").alias("leg"), F.col("vec_id").alias("chunk_id"), "rank", "score")
     return bm.unionByName(vec)
