@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-#: Rows in an Arrow batch. Texts run to 100 kB and more, so a batch of the default 10,000 could
-#: outgrow a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch. Texts run to 100 kB and more, and a batch exists several times
+#: over: in the JVM's buffers, in Arrow and as Python objects.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

@@ -26,7 +26,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Exact counts, long.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -94,15 +95,17 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column of RATIOS; all other columns stay in the JVM untouched."""
+    """``docs`` with a struct column of RATIOS. Batches pass through Python as Arrow, column by column;
+    a scalar UDF would queue whole rows in the JVM meanwhile."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf(", ".join(f"{r} double" for r in RATIOS))
-    def ratios(text):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, ratios = measure_batch(b.column(at))
+            yield pa.record_batch([*b.columns, pa.StructArray.from_arrays([pa.array(x) for x in ratios.T.copy()], list(RATIOS))], [*b.schema.names, into])
 
-        return pd.DataFrame([measure(t)[1] for t in text], columns=list(RATIOS))
-
-    return docs.withColumn(into, ratios(F.col(text_col).cast("string")))
+    kind = StructType([StructField(r, DoubleType()) for r in RATIOS])
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, kind)]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) -> DataFrame:

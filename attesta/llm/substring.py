@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, unused
 from .decontamination import SHINGLE, WordHashes, shingle_hashes
+from .tokens import encoder
 
 MIN_WORDS, SIMILARITY = 50, 0.8
 HASHES, ENOUGH = 3, 2
@@ -75,6 +76,7 @@ def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that packed before holds a large cache; its memory serves here
         known, least = WordHashes(), min_words - SHINGLE + 1
         for b in batches:
             rows, ats, hs, signs, wides = [], [], [], [], []
@@ -226,16 +228,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             rows, out = [], []
             last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            xs, ys = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()
+            xs, ys = b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())
             cuts, all_hits = b.column(4).offsets.to_pylist(), b.column(4).values
             h, i, j = (all_hits.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
             for row, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if xs[row] == ys[row]:  # copies are one passage, and holding signatures they are long enough
-                    rows.append(row), out.append((0, len(xs[row].split()), 0, 1.0))
+                x, y = xs[row].as_py(), ys[row].as_py()
+                if x == y:  # copies are one passage, and holding signatures they are long enough
+                    rows.append(row), out.append((0, len(x.split()), 0, 1.0))
                     continue
-                if ys[row] != last[0]:
-                    last = (ys[row], tokens(ys[row], known))
-                for p in passages(tokens(xs[row], known), last[1], (h[lo:hi], i[lo:hi], j[lo:hi])):
+                if y != last[0]:
+                    last = (y, tokens(y, known))
+                for p in passages(tokens(x, known), last[1], (h[lo:hi], i[lo:hi], j[lo:hi])):
                     rows.append(row), out.append(p)
             cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
             start, words, other, like = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True))
@@ -266,15 +269,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents of which no word is left are dropped; others keep their row and columns, so texts
     that had no words to begin with stay.
     """
-    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("doc").alias(id_col)).agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
-    joined = docs.join(spans, id_col, "left")
+    name = unused("spans", docs)
+    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("doc").alias(id_col)).agg(F.collect_set(F.struct("start", "n_words")).alias(name))
+    joined = docs.join(spans, id_col, "left").select(*docs.columns, name)
+    at, last = docs.columns.index(text_col), len(docs.columns)
 
-    @F.pandas_udf("string")
-    def shorten(text, spans):
-        import pandas as pd
-
-        out = [t if s is None or t is None else cut(t.encode(), [(v["start"], v["n_words"]) for v in s]).decode("utf-8", "replace") for t, s in zip(text, spans, strict=True)]
-        return pd.Series(out, dtype=object)
-
-    done = joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(shorten(F.col(text_col), F.col("spans"))))
-    return done.where(F.col("spans").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, cuts = b.column(at), b.column(last)
+            kept, alive = [], np.ones(b.num_rows, bool)
+            for row in range(b.num_rows):
+                text, gone = texts[row].as_py(), cuts[row].as_py()
+                if gone and text is not None:
+                    text = cut(text.encode(), [(v["start"], v["n_words"]) for v in gone]).decode("utf-8", "replace")
+                    alive[row] = bool(text.encode().split())
+                kept.append(text)
+            columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(b.columns[:last])]
+            yield pa.record_batch(columns, b.schema.names[:last]).filter(pa.array(alive))
+
+    return joined.mapInArrow(shorten, docs.schema)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text whose words are looked up together.
-STEP = 1 << 23
+STEP = 1 << 22
 _NONE = np.int32(1 << 30)
 #: Lower-case Latin words, which normalisers leave as they are and which are one pre-token.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -97,7 +97,7 @@ class WordEncoder:
     some 200 bytes each.
     """
 
-    def __init__(self, name: str = TOKENIZER, most: int = 1_200_000):
+    def __init__(self, name: str = TOKENIZER, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.merges = Merges(public_tokenizers.path(name))
         self.most = most
