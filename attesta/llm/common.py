@@ -7,6 +7,7 @@ Words are maximal runs of bytes other than space and ``\\x09``-``\\x0D``; that i
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from functools import reduce
 
@@ -71,6 +72,12 @@ class Scratch:
             pass
 
 
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); root is the smallest node it reaches.
 

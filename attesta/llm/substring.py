@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, unused
+from .common import Scratch, free, unused
 from .decontamination import SHINGLE, WordHashes, shingle_hashes
 from .tokens import encoder
 
@@ -65,14 +65,14 @@ def _run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(sign, wide, doc, at, h, other): for each compact window, the ten shingles that end at its minimum
+    """(sign, wide, doc, at, h, other, shared): for each compact window, the ten shingles that end at its minimum
     and the ten that begin there, hashed with the number of the hash function and the side.
 
     A passage of ``min_words`` has room for one side or the other, so its holders share a signature
     under every hash function, while a short common phrase gives none. Rows of a batch that also
     agree in their wider surroundings are joined at once: the smallest document goes on alone for
-    them, and the others carry it as ``other`` under a number of their own. So a passage that a
-    third of the corpus holds makes few rows in any group.
+    them, and the others carry it as ``other`` under a number of their own. All of them have the
+    number they share as ``shared``. So a passage that a third of the corpus holds makes few rows in any group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,29 +105,35 @@ def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS
             same = (sign[1:] == sign[:-1]) & (wide[1:] == wide[:-1]) & ((wide[1:] != 0) | (at[1:] == at[:-1]))
             head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(sign)), 0))
             joined = place[row] != place[row[head]]
+            shared = pa.array(sign.view(np.int64), mask=~(joined | np.isin(np.arange(len(sign)), head[joined])))
             sign = np.where(joined, mixed(sign ^ (place[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 2), sign)
             ids = b.column(0)
             other = pa.StructArray.from_arrays([ids.take(pa.array(row[head])), pa.array(at[head].astype(np.int32))], ["doc", "at"], mask=pa.array(~joined))
             arrays = [pa.array(sign.view(np.int64)), pa.array((wide >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row))]
-            yield pa.record_batch([*arrays, pa.array(at.astype(np.int32)), pa.array(h), other], ["sign", "wide", "doc", "at", "h", "other"])
+            yield pa.record_batch([*arrays, pa.array(at.astype(np.int32)), pa.array(h), other, shared], ["sign", "wide", "doc", "at", "h", "other", "shared"])
 
     kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(run, f"sign bigint, wide int, doc {kind}, at int, h tinyint, other struct<doc: {kind}, at: int>")
+    return docs.mapInArrow(run, f"sign bigint, wide int, doc {kind}, at int, h tinyint, other struct<doc: {kind}, at: int>, shared bigint")
 
 
-def collisions(signs: DataFrame) -> DataFrame:
+def members(signs: DataFrame) -> DataFrame:
+    """Rows of ``signs`` whose group holds another document, with the group's ``first`` (doc, at)."""
+    by_doc = Window.partitionBy("sign").orderBy("doc", "at")
+    first = F.first(F.struct("doc", "at")).over(by_doc)
+    rows = signs.select("*", first.alias("first"), F.lead("doc").over(by_doc).alias("next"))
+    return rows.where("shared IS NOT NULL OR first.doc <> doc OR next <> doc").drop("next")
+
+
+def collisions(group_rows: DataFrame) -> DataFrame:
     """(later, earlier, hits): pairs of documents with their shared signatures (h, at_later, at_earlier).
 
     Within a group each member is paired with the first document and with the member before it
     when sorted by their wider surroundings, so equal passages stand side by side. That is linear
-    in the group, whatever its size, and needs no more memory than a sort.
+    in the group, whatever its size, and needs no more memory than a sort. Members that neither
+    partner settles are left to :func:`other_collisions`.
     """
-    by_doc = Window.partitionBy("sign").orderBy("doc", "at")
-    first = F.first(F.struct("doc", "at")).over(by_doc)
-    rows = signs.select("*", first.alias("first"), F.lead("doc").over(by_doc).alias("next"))
-    rows = rows.where("other IS NOT NULL OR first.doc <> doc OR next <> doc")
     before = F.lag(F.struct("doc", "at")).over(Window.partitionBy("sign").orderBy("wide", "doc", "at"))
-    rows = rows.select("doc", "at", "h", "other", "first", before.alias("before"))
+    rows = group_rows.select("doc", "at", "h", "other", "first", before.alias("before"))
     others = F.when(F.col("other").isNotNull(), F.array("other")).otherwise(F.array_distinct(F.array("first", "before")))
     rows = rows.select("doc", "at", "h", others.alias("others"))
     rows = rows.select("doc", "at", "h", F.explode("others").alias("other")).where("other.doc <> doc")
@@ -139,6 +145,33 @@ def collisions(signs: DataFrame) -> DataFrame:
     return rows.groupBy("later", "earlier").agg(F.collect_set("hit").alias("hits")).where(F.size(F.array_distinct(F.col("hits.h"))) >= ENOUGH)
 
 
+def other_collisions(group_rows: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(later, earlier, places): pairs of each member that no passage of ``found`` covers with every
+    earlier document of its group.
+
+    Members of the same document so near that one passage of ``min_words`` may hold both come along,
+    as their hash functions count towards the agreement.
+    """
+    least = min_words - SHINGLE + 1
+    rows = group_rows.select(F.coalesce("shared", "sign").alias("sign"), "doc", "at", "h", (F.col("other").isNotNull() | (F.col("first.doc") < F.col("doc"))).alias("late"))
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - SHINGLE).alias("stop"))).alias("spans"))
+    covered = F.exists("spans", lambda s: F.col("at").between(s["start"], s["stop"]))
+    late = rows.where("late").join(spans, "doc", "left").select("sign", "doc", "at", "h", (~F.coalesce(covered, F.lit(False))).alias("open"))
+    near = F.max("open").over(Window.partitionBy("doc").orderBy("at").rangeBetween(-least, least))
+    # one row for each document and group: texts that repeat themselves hold a signature in many places
+    late = late.withColumn("near", near).where("near").groupBy("sign", "h", F.col("doc").alias("later")).agg(F.max("open").alias("open"), F.collect_set("at").alias("xs"))
+    early = rows.groupBy("sign", F.col("doc").alias("earlier")).agg(F.collect_set("at").alias("ys"))
+    both = late.join(early, "sign").where("earlier < later").groupBy("later", "earlier")
+    found = both.agg(F.max("open").alias("open"), F.collect_list(F.struct("h", "xs", "ys")).alias("places"))
+    return found.where(F.col("open") & (F.size(F.array_distinct(F.col("places.h"))) >= ENOUGH)).drop("open")
+
+
+def hits_of(places: Column) -> Column:
+    """Hits of :func:`collisions` from the places of :func:`other_collisions`."""
+    pairs = lambda p: F.flatten(F.transform(p["xs"], lambda x: F.transform(p["ys"], lambda y: F.struct(p["h"].alias("h"), x.alias("x"), y.alias("y")))))
+    return F.flatten(F.transform(places, pairs))
+
+
 def passages(x: np.ndarray, y: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
     """(start in x, words, start in y, similarity) of near-duplicate passages around shared signatures,
     given as arrays of hash functions, places in x and places in y.
@@ -205,20 +238,33 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document shares, with a similarity of 0.8 or more on five-word shingles, with an earlier one
     (of smaller id).
 
-    Each holder of a passage but the earliest is linked to some earlier holder; links add up to
-    classes. Positions count words from 0. Words are lower-cased in A-Z. Rows without an id are
-    left out, rows that share one count as one document's; null, empty and shorter texts have no
+    Each holder of a passage but the earliest is linked to some earlier holder, whichever of its
+    groups' documents that is; links add up to classes. Positions count words from 0. Words are
+    lower-cased in A-Z. Rows without an id are left out, rows that share one count as one document's; null, empty and shorter texts have no
     passages, and no documents give no rows. Repeats inside one document aren't reported.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    pairs = scratch.table(collisions(signatures(texts)), "pairs")
+    groups = scratch.table(members(signatures(texts)), "groups")
+    free(spark)
+    pairs = scratch.table(collisions(groups), "pairs")
+    found = scratch.table(_verified(pairs, F.col("hits"), texts, scratch, "texts"), "found")
+    scratch.drop("texts"), scratch.drop("pairs")
+    free(spark)
+    rest = scratch.table(other_collisions(groups, found), "other_pairs")
+    scratch.drop("groups")
+    free(spark)
+    return found.unionByName(_verified(rest, hits_of(F.col("places")), texts, scratch, "other_texts")).distinct()
+
+
+def _verified(pairs: DataFrame, hits: Column, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Passages of :func:`repeated_passages` in the given pairs of documents (later, earlier), with their ``hits``."""
     n = pairs.count()
     ids = pairs.select(F.col("later").alias("doc")).unionByName(pairs.select(F.col("earlier").alias("doc"))).distinct()
     # a table, so that the joins below read plain shuffles, which adaptive execution can split where
     # one document is the source of many
-    kept = scratch.table(_only(texts, ids, 2 * n).groupBy("doc").agg(F.max("text").alias("text")), "texts")
+    kept = scratch.table(_only(texts, ids, 2 * n).groupBy("doc").agg(F.max("text").alias("text")), name)
     both = pairs.join(kept.select(F.col("doc").alias("later"), F.col("text").alias("x")), "later")
     both = both.join(kept.select(F.col("doc").alias("earlier"), F.col("text").alias("y")), "earlier")
     kind = dict(texts.dtypes)["doc"]
@@ -246,7 +292,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([b.column(0).take(take), start, words, b.column(1).take(take), other, like], ["doc", "start", "n_words", "source", "source_start", "similarity"])
 
     schema = f"doc {kind}, start bigint, n_words bigint, source {kind}, source_start bigint, similarity double"
-    return both.select("later", "earlier", "x", "y", "hits").mapInArrow(verify, schema)
+    return both.select("later", "earlier", "x", "y", hits.alias("hits")).mapInArrow(verify, schema)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -209,6 +209,46 @@ def test_near_copies_with_edits(spark):
     assert substring.cut(b"a b  c\nd e", [(1, 2)]) == b"a d e"
 
 
+def family(n=300, seed=3):
+    """Copies of a passage, each edited in one word, and the clean original at a middle id."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    docs = []
+    for i in range(n):
+        words = list(base)
+        if i != n // 2:
+            words[r.choice([*range(5), *range(55, 60)] if i % 3 == 0 else range(60))] = f"e{i}"
+        docs.append((i, " ".join([f"a{i}x{k}" for k in range(20)] + words + [f"b{i}x{k}" for k in range(20)])))
+    return docs
+
+
+def test_op4_edited_copies_find_an_original_of_any_id(spark):
+    docs = family()
+    got = {(r[0], r[1]) for r in rows(substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc", "source")}
+    # every later copy that agrees with the original, or any earlier text, under two hash functions and is similar enough
+    known = substring.WordHashes()
+    shingles = {i: substring.tokens(t.encode(), known) for i, t in docs}
+    signs = collections.defaultdict(set)
+    for i, s in shingles.items():
+        near = substring._run_hashes(s, substring.NEAR)
+        for h in range(substring.HASHES):
+            for _, at, _ in substring.compact_windows(substring.mixed(s, h), 46):
+                for side, begin in enumerate((at - substring.NEAR + 1, at)):
+                    if 0 <= begin < len(near):
+                        signs[i].add((h, side, int(near[begin]), at))
+    want = set()
+    for i, x in shingles.items():
+        for j, y in shingles.items():
+            if j < i and i not in want:
+                at = {(h, side, v): a for h, side, v, a in signs[j]}
+                hits = [(h, a, at[h, side, v]) for h, side, v, a in signs[i] if (h, side, v) in at]
+                if len({h for h, *_ in hits}) >= 2 and substring.passages(x, y, tuple(np.array(c) for c in zip(*hits, strict=True))):
+                    want.add(i)
+    assert len(want) > 100 and want == {i for i, _ in got}
+
+
 def test_op6(spark, sf, duck):
     got = QUERIES["op6_decontamination"](spark, sf)
     want = duck.sql(ORACLE_SQL["op6_decontamination"])
