@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,20 +20,32 @@ SENTENCES: dict[str, str] = {
     "licensed under the mit license": "mit-short",
     "this project is licensed under the mit license": "mit-short",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied": "mit-warranty",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0-short",
     "this work is licensed under the gnu general public license version 2": "gpl-2.0-short",
     "this program is free software": "gpl-free",
     "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-header",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-terms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0-terms",
+    "either version 3 of the license or at your option any later version": "gpl-3.0-later",
+    "either version 2 of the license or at your option any later version": "gpl-2.0-later",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0-short",
     "licensed under cc by 4 0": "cc-by-4.0-short",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0-short",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0-short",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice": "bsd-source",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-endorse",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "all rights reserved": "reserved",
     "this work is dedicated to the public domain": "public-domain",
 }
@@ -46,6 +59,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-2.0-short", "apache-comply")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("GPL-3.0", ("gpl-3.0-header",)),
+    ("GPL-3.0", ("gpl-free", "gpl-3.0-terms")),
+    ("GPL-2.0", ("gpl-free", "gpl-2.0-terms")),
+    ("GPL-3.0", ("gpl-free", "gpl-terms", "gpl-3.0-later")),
+    ("GPL-2.0", ("gpl-free", "gpl-terms", "gpl-2.0-later")),
     ("GPL", ("gpl-free", "gpl-terms")),
     ("Apache-2.0", ("apache-2.0-short",)),
     ("Apache-2.0", ("apache-2.0-head",)),
@@ -60,25 +78,45 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("reserved",)),
 )
 
-#: A sentence ends at a line's end, or at a full stop and the like before white space.
+#: A sentence ends at a full stop and the like before white space, or at a line's end, unless a known
+#: sentence goes on in the next line.
 _ENDS = re.compile(r"\n|(?<=[.;:!?])[ \t]+")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 #: Every known sentence has one of these; texts and sentences without one are passed over.
-_CUE = re.compile(rb"(?i)licen[sc]e|permission|warrant|redistribut|copyright|software|public domain|rights reserved|this file|names? of")
+_CUE = re.compile(rb"(?i)licen[sc]e|permission|warrant|redistribut|copyright|software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|this[^a-z0-9]+file|names?[^a-z0-9]+of|either[^a-z0-9]+version")
 
 
 def normalise(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
 
 
+@lru_cache(8)
+def _beginnings(sentences: tuple[str, ...]) -> frozenset[str]:
+    """What known sentences may begin with, in whole words."""
+    return frozenset(" ".join(words[:k]) for words in map(str.split, sentences) for k in range(1, len(words)))
+
+
 def identifiers(text: str, sentences: dict[str, str]) -> list[tuple[str, int]]:
-    """(identifier, character offset) of each known sentence of a text, in order."""
-    found, at = [], 0
+    """(identifier, character offset) of each known sentence of a text, in order.
+
+    A sentence may be wrapped over lines, each behind a comment's marks; the longest known one counts.
+    """
+    starts, pieces, wraps, at = [], [], [], 0
     for m in [*_ENDS.finditer(text), None]:
         end = m.start() if m else len(text)
-        if 4 < end - at < 400 and (name := sentences.get(normalise(text[at:end]))):
-            found.append((name, at))
+        starts.append(at), pieces.append(normalise(text[at:end])), wraps.append(m is not None and m.group() == "\n")
         at = m.end() if m else end
+    known, found, i = _beginnings(tuple(sentences)), [], 0
+    while i < len(pieces):
+        whole, last, name, k = pieces[i], i, sentences.get(pieces[i]), i
+        while whole in known and wraps[k] and k + 1 < len(pieces) and pieces[k + 1]:
+            k += 1
+            whole = f"{whole} {pieces[k]}"
+            if whole in sentences:
+                last, name = k, sentences[whole]
+        if name:
+            found.append((name, starts[i]))
+        i = last + 1
     return found
 
 

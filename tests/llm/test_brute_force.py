@@ -345,6 +345,61 @@ def test_op10_on_documents(spark, sf, texts):
     assert got["CC-BY-NC-4.0"] == sum("Licensed under CC BY-NC 4.0." in x for x in lines)
 
 
+STOCK = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+}
+STOCK["BSD-3-Clause"] = STOCK["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("licence", STOCK)
+def test_op10_stock_texts(licence, mark):
+    for text in (STOCK[licence], re.sub(r"(?<=\S)\n *(?=\S)", " ", STOCK[licence])):
+        marked = "\n".join(mark + line for line in text.split("\n"))
+        ids = licenses.identifiers(marked, licenses.SENTENCES)
+        found = licenses.match_rules([x for x, _ in ids], licenses.RULES)
+        assert [m[0] for m in found] == [licence] and found[0][2] == len(ids)
+
+
 def test_measure_of_odd_texts():
     assert measure(None) == measure("") == ([0] * 5, measure("")[1])
     assert measure("a<b> c")[0] == [2, 5, 2, 0, 0]
