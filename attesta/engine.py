@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text
-from .operators import claims, dense, evaluation, fusion, lexical, policy
+from .operators import chunking, claims, dense, evaluation, fusion, lexical, policy
 from .session import shared_dir
 
 MODES = ("bm25", "vec", "hybrid")
@@ -78,15 +78,37 @@ class Engine:
         keyed = both.join(facts, "chunk_id").select("query_id", "leg", "chunk_id", "rank", "score", fusion.unit_key(F.col("source"), F.col("file"), F.col("heading"), by_page).alias("unit"), F.lit(True).alias("body"))
         fused = fusion.order_fused(fusion.rrf_units(keyed)).where(F.col("rank") < topk)
         level = fusion.gate(keyed, floors or FLOORS)
+        if self.reranker is not None:
+            fused, gate = self._reranked(fused, keyed, facts, queries)
+            level = level.join(gate, "query_id", "left").select("query_id", F.coalesce("reranked", "level").alias("level"))
         hits = fused.join(level, "query_id").join(facts, "chunk_id").join(queries, "query_id")
         hits = hits.withColumn("snippet", text.snippet(F.col("body"), text.tokenize(F.col("q")))).withColumn("mode", F.lit(label))
-        if self.reranker is not None:
-            scores = self.reranker.score(hits.select("query_id", "q", "unit", F.explode(F.expr("array(substring(body, 1, 450))")).alias("window")))
-            gate = fusion.rerank_gate(fused, scores).select("query_id", F.col("level").alias("reranked"))
-            hits = hits.join(gate, "query_id", "left").withColumn("level", F.coalesce("reranked", "level"))
         hits = hits.where("level <> 'low'") if drop_low else hits
         return hits.select("query_id", "rank", "unit", "chunk_id", "score", "ranks", "level", "mode", "source", "file", "heading", "snippet")
 
+    def _reranked(self, fused: DataFrame, keyed: DataFrame, facts: DataFrame, queries: DataFrame, lo: float = 0.10, hi: float = 0.50) -> tuple[DataFrame, DataFrame]:
+        """``fused`` with representatives rescued, and (query_id, reranked): the level by the best window.
+
+        Of queries whose best stays under ``hi``, each unit among those scored that is under ``lo``
+        has its best lexical chunk scored too, which takes over from ``lo`` on.
+        """
+
+        def score(chosen: DataFrame) -> DataFrame:
+            header = F.concat_ws("\n", "file", "heading")
+            windows = chosen.join(facts, "chunk_id").join(queries, "query_id").select("query_id", "q", "unit", F.explode(chunking.fixed_windows(F.col("body"), header)).alias("window"))
+            return self.reranker.score(windows).groupBy("query_id", "unit").agg(F.max("score").alias("score"))
+
+        scores = score(fused.select("query_id", "unit", "chunk_id"))
+        units = fused.select("query_id", "unit", "rank", "chunk_id").join(scores.withColumnRenamed("score", "p"), ["query_id", "unit"], "left")
+        weak = fusion.rerank_gate(fused, scores, lo, hi).where(F.col("best") < hi).select("query_id", "n_scored")
+        weak = units.join(weak, "query_id").where((F.col("rank") < F.col("n_scored")) & (F.col("p") < lo)).select("query_id", "unit", F.col("chunk_id").alias("old"))
+        lexical_best = keyed.where("leg = 'bm25'").groupBy("query_id", "unit").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("chunk_id"))
+        tried = lexical_best.join(weak, ["query_id", "unit"]).where("chunk_id <> old").select("query_id", "unit", "chunk_id")
+        bodies = tried.join(score(tried).withColumnRenamed("score", "p"), ["query_id", "unit"])
+        rescued = fusion.rescue(units, bodies, lo)
+        levels = fusion.rerank_gate(fused, rescued.select("query_id", "unit", F.col("p").alias("score")), lo, hi)
+        return fused.drop("chunk_id").join(rescued.select("query_id", "unit", "chunk_id"), ["query_id", "unit"]), levels.select("query_id", F.col("level").alias("reranked"))
+
     def get(self, file: str | None = None, heading: str | None = None, digest: str | None = None, limit: int = 20_000) -> DataFrame:
         """Chunks by content digest, by file, or by file and heading (exact, else the only one it begins)."""
         rows = self.chunks.withColumn("digest", F.md5("body"))

@@ -101,3 +101,18 @@ def test_postings_search_equals_full_scan(spark, sf):
     w = F.col("times") * numeric.bm25_weight(numeric.idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("m"))
     slow = {(a, b): s for a, b, s in rows(full.groupBy("query_id", "chunk_id").agg(F.sum(w).alias("s")))}
     assert fast.keys() == slow.keys() and all(abs(fast[k] - slow[k]) < 1e-9 for k in fast)
+
+
+def test_reranker_sees_whole_chunks(spark):
+    from attesta.engine import Engine
+
+    class Answers:
+        def score(self, pairs):
+            seen = F.contains("window", F.lit("answer")) & F.startswith("window", F.lit("f\nh"))
+            return pairs.select("query_id", "unit", F.when(seen, 0.9).otherwise(0.01).alias("score"))
+
+    late = "apple " + "filler " * 120 + "answer"
+    chunks = spark.createDataFrame([(1, "case", "f", "h", late, None), (2, "case", "g", "h", "apple other", None)], "chunk_id bigint, source string, file string, heading string, body string, purpose string")
+    queries = spark.createDataFrame([(1, "apple")], "query_id bigint, q string")
+    got = Engine(spark, chunks, reranker=Answers()).search(queries, "bm25", drop_low=True).select("file", "level").collect()
+    assert {tuple(r) for r in got} == {("f", "high"), ("g", "high")}
