@@ -26,7 +26,7 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeated_passages(documents(spark, sf_dir))
-    return found.withColumnsRenamed({"doc": "doc_id", "source": "source_doc_id"})
+    return found.withColumnsRenamed({"doc": "doc_id", "source": "source_doc_id", "class": "class_id"})
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,11 @@
-"""Repeated passages across documents, by compact windows of token min-hashes."""
+"""Repeated passages across documents, by compact windows of token min-hashes.
+
+Tokens are five-word shingles. Under each hash function the Cartesian tree of a text's token hashes
+gives its compact windows: all runs of tokens inside [lo, hi] that hold ``at`` have their min-hash
+there. So two similar passages of 50 words lie in windows of one min-hash with the probability of
+their similarity, and equal passages always. Windows of equal min-hashes are joined where their
+intervals leave room for such a passage, and what they join is verified on the tokens themselves.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +14,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Scratch, free, unused
+from .common import Scratch, connected_components, free, union_all, unused
 from .decontamination import SHINGLE, WordHashes, shingle_hashes
 from .tokens import encoder
 
 MIN_WORDS, SIMILARITY = 50, 0.8
-HASHES, ENOUGH = 3, 2
-#: Shingles beside a window's minimum that its signature covers, and that order a group's members.
-NEAR, WIDE = 10, 23
+#: Hash functions, and how many of them must join a passage that isn't an exact copy.
+HASHES, ENOUGH = 4, 2
+#: Tokens of a passage of MIN_WORDS, and those shown on either side of a window's minimum.
+LEAST = MIN_WORDS - SHINGLE + 1
+REACH = LEAST - 1
+#: Two windows are compared if the tokens that end or begin at their minima agree this far; any exact
+#: passage does, and so does one of 0.8, whose longest equal stretch is about twice as long.
+SIDE = 10
+#: Rows of one min-hash that one task compares; larger groups are split.
+HOT = 4096
+#: Words by which one passage may be shifted against the other within REACH of a minimum.
+SHIFT = 3
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_WIDTH = 2 * REACH + 1
 
 
 def tokens(text: bytes | None, known: dict) -> np.ndarray:
@@ -35,20 +52,47 @@ def mixed(values: np.ndarray, i: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * _MULTIPLIERS[(i + 1) % len(_MULTIPLIERS)]
 
 
-def compact_windows(values: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(first, at, last) of the Cartesian tree's nodes that span ``least`` values or more.
+def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
+    """``of`` (minimum or maximum) over each run of ``width`` values."""
+    out, span = values, 1
+    while span * 2 <= width:
+        out, span = of(out[:-span], out[span:]), span * 2
+    return of(out[: len(values) - width + 1], out[width - span :]) if span < width else out
+
+
+def compact_windows(values: np.ndarray, least: int = LEAST, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, at, hi) of the Cartesian tree's nodes that span ``least`` values or more, in order of ``at``.
 
-    Every run of values inside [first, last] that holds ``at`` has its minimum there (the leftmost
-    of equal ones), and each run of that length or more belongs to exactly one window.
+    Each run of that length or more belongs to exactly one window, the one inside whose [lo, hi] it
+    holds ``at``, and has its minimum there. Of equal values a pseudo-random one counts as least, so a text
+    of one word gives few windows too. Values are 64-bit hashes, compared in their upper 48 bits;
+    no window holds a place in ``breaks``.
     """
-    todo = [(0, len(values) - 1)]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo + 1 < least:
-            continue
-        at = lo + int(values[lo : hi + 1].argmin())
-        yield lo, at, hi
-        todo += [(lo, at - 1), (at + 1, hi)]
+    n = len(values)
+    if n < least:
+        return (np.zeros(0, np.int64),) * 3
+    noise = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    key = ((values | np.uint64(0xFFFF)) ^ noise) | np.uint64(1 << 16)
+    edge = np.zeros(n, bool)
+    if breaks is not None:
+        edge[breaks] = True
+        key[breaks] = 0
+    low, pad = _sliding(key, least, np.minimum), np.zeros(least - 1, np.uint64)
+    # a place is the least of some run if it is as great as the greatest least of the runs that hold it;
+    # whatever bounds such a place's window is such a place itself, so the tree needs no others
+    places = np.flatnonzero((_sliding(np.concatenate([pad, low, pad]), least, np.maximum) == key) | edge)
+    at, keys = places.tolist(), key[places].tolist()
+    lo, hi, stack = [0] * len(at), [n - 1] * len(at), []
+    for i, k in enumerate(keys):
+        p = at[i]
+        while stack and keys[stack[-1]] > k:
+            hi[stack.pop()] = p - 1
+        if stack:
+            lo[i] = at[stack[-1]] + 1
+        stack.append(i)
+    lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+    kept = (hi - lo + 1 >= least) & ~edge[places]
+    return lo[kept], places[kept], hi[kept]
 
 
 def _run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
@@ -64,235 +108,448 @@ def _run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
     return mixed(key[:n], 0)
 
 
-def signatures(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(sign, wide, doc, at, h, other, shared): for each compact window, the ten shingles that end at its minimum
-    and the ten that begin there, hashed with the number of the hash function and the side.
+def _again(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order, out = np.argsort(values), np.zeros(len(values), bool)
+    same = np.flatnonzero(np.diff(values[order]) == 0)
+    out[order[same]] = out[order[same + 1]] = True
+    return out
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(sign, doc, copy, h, lo, at, hi, before, after, first) of all compact windows of ``texts`` (doc, copy, text).
 
-    A passage of ``min_words`` has room for one side or the other, so its holders share a signature
-    under every hash function, while a short common phrase gives none. Rows of a batch that also
-    agree in their wider surroundings are joined at once: the smallest document goes on alone for
-    them, and the others carry it as ``other`` under a number of their own. All of them have the
-    number they share as ``shared``. So a passage that a third of the corpus holds makes few rows in any group.
+    ``sign`` is the min-hash, told apart by hash function; ``before`` and ``after`` hash the SIDE
+    tokens that end and begin at it (0: there aren't so many; 1: the document holds it elsewhere too); ``first`` is 1 for one window of
+    each sign in a document. One pass, some HASHES rows for each 23 words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that packed before holds a large cache; its memory serves here
-        known, least = WordHashes(), min_words - SHINGLE + 1
+        known, gap = WordHashes(), np.zeros(1, np.uint64)
         for b in batches:
-            rows, ats, hs, signs, wides = [], [], [], [], []
-            for row, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+            rows, parts = [], [gap]
+            for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 s = tokens(text, known)
-                if len(s) < least:
-                    continue
-                near, wide = _run_hashes(s, NEAR), _run_hashes(s, WIDE)
-                found = [[at for _, at, _ in compact_windows(mixed(s, h), least)] for h in range(hashes)]
-                at = np.array([a for f in found for a in f], np.int64)
-                at, h = np.concatenate([at, at]), np.tile(np.repeat(np.arange(hashes), list(map(len, found))), 2)
-                side = np.arange(len(at)) >= len(at) // 2
-                begin, far = at - np.where(side, 0, NEAR - 1), at - np.where(side, 0, WIDE - 1)
-                ok = (begin >= 0) & (begin < len(near))
-                at, h, side, begin, far = at[ok], h[ok], side[ok], begin[ok], far[ok]
-                rows.append(np.full(len(at), row)), ats.append(at), hs.append(h.astype(np.int8))
-                signs.append(mixed(near[begin] + (2 * h + side).astype(np.uint64), 1))
-                inside = (far >= 0) & (far < len(wide))
-                wides.append(np.where(inside, wide[np.clip(far, 0, len(wide) - 1)], np.uint64(0)))
+                if len(s) >= LEAST:
+                    rows.append(row), parts.extend((s, gap))
             if not rows:
                 continue
-            sign, wide, row, at, h = map(np.concatenate, (signs, wides, rows, ats, hs))
-            _, place = np.unique(np.array(b.column(0).to_pylist()), return_inverse=True)  # order of the documents' ids
-            order = np.lexsort((at, place[row], np.where(wide == 0, at, -1), wide, sign))
-            sign, wide, row, at, h = sign[order], wide[order], row[order], at[order], h[order]
-            same = (sign[1:] == sign[:-1]) & (wide[1:] == wide[:-1]) & ((wide[1:] != 0) | (at[1:] == at[:-1]))
-            head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(sign)), 0))
-            joined = place[row] != place[row[head]]
-            shared = pa.array(sign.view(np.int64), mask=~(joined | np.isin(np.arange(len(sign)), head[joined])))
-            sign = np.where(joined, mixed(sign ^ (place[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 2), sign)
-            ids = b.column(0)
-            other = pa.StructArray.from_arrays([ids.take(pa.array(row[head])), pa.array(at[head].astype(np.int32))], ["doc", "at"], mask=pa.array(~joined))
-            arrays = [pa.array(sign.view(np.int64)), pa.array((wide >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(row))]
-            yield pa.record_batch([*arrays, pa.array(at.astype(np.int32)), pa.array(h), other, shared], ["sign", "wide", "doc", "at", "h", "other", "shared"])
-
-    kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(run, f"sign bigint, wide int, doc {kind}, at int, h tinyint, other struct<doc: {kind}, at: int>, shared bigint")
-
-
-def members(signs: DataFrame) -> DataFrame:
-    """Rows of ``signs`` whose group holds another document, with the group's ``first`` (doc, at)."""
-    by_doc = Window.partitionBy("sign").orderBy("doc", "at")
-    first = F.first(F.struct("doc", "at")).over(by_doc)
-    rows = signs.select("*", first.alias("first"), F.lead("doc").over(by_doc).alias("next"))
-    return rows.where("shared IS NOT NULL OR first.doc <> doc OR next <> doc").drop("next")
-
-
-def collisions(group_rows: DataFrame) -> DataFrame:
-    """(later, earlier, hits): pairs of documents with their shared signatures (h, at_later, at_earlier).
-
-    Within a group each member is paired with the first document and with the member before it
-    when sorted by their wider surroundings, so equal passages stand side by side. That is linear
-    in the group, whatever its size, and needs no more memory than a sort. Members that neither
-    partner settles are left to :func:`other_collisions`.
+            s = np.concatenate(parts)
+            sizes = np.array([len(p) for p in parts[1::2]], np.int64)
+            ends = np.cumsum(sizes + 1)  # places of the gaps after the documents
+            begins, breaks = ends - sizes, np.concatenate([[0], ends])
+            again = _again(s + np.repeat(np.arange(len(sizes) + 1, dtype=np.uint64), np.concatenate([[1], sizes + 1])) * _MULTIPLIERS[4])
+            sides = (_run_hashes(s, SIDE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            for h in range(HASHES):
+                v = mixed(s, h)
+                lo, at, hi = compact_windows(v, LEAST, breaks)
+                doc = np.searchsorted(ends, at)
+                begin, end = begins[doc], ends[doc]
+                before = np.where(at - SIDE + 1 >= begin, sides[np.maximum(at - SIDE + 1, 0)], 0)
+                after = np.where(at + SIDE <= end, sides[np.minimum(at, len(sides) - 1)], 0)
+                # which of equal tokens counts as least may differ between texts, and so may its sides
+                before, after = np.where(again[at], 1, before), np.where(again[at], 1, after)
+                sign = mixed(v[at] ^ np.uint64(h), 5).view(np.int64)
+                order = np.lexsort((sign, doc))
+                new = np.concatenate([[True], (np.diff(sign[order]) != 0) | (np.diff(doc[order]) != 0)])[: len(at)]
+                first = np.zeros(len(at), np.int8)
+                first[order[new]] = 1
+                which = pa.array(np.array(rows)[doc])
+                ints = [pa.array(x.astype(np.int32)) for x in (lo - begin, at - begin, hi - begin, before, after)]
+                columns = [pa.array(sign), b.column(0).take(which), b.column(1).take(which), pa.array(np.full(len(at), h, np.int8)), *ints, pa.array(first)]
+                yield pa.record_batch(columns, ["sign", "doc", "copy", "h", "lo", "at", "hi", "before", "after", "first"])
+
+    kind = dict(texts.dtypes)["doc"]
+    return texts.select("doc", "copy", "text").mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, lo int, at int, hi int, before int, after int, first tinyint")
+
+
+def _among(rows: DataFrame, on: list[str], keys: DataFrame, n: int) -> DataFrame:
+    """Rows of ``rows`` whose ``on`` is among ``keys``, and a few others: a bitmap of hashed keys, of 32 MB
+    at most, spares the other rows a shuffle. The joins that follow are exact."""
+    bits = 1 << min(28, max(20, (16 * n).bit_length()))
+    bit = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_"))
+    keyed = rows.withColumn("bit_", bit).withColumn("bucket_", F.bitmap_bucket_number("bit_")).withColumn("place_", F.bitmap_bit_position("bit_"))
+    byte = F.conv(F.hex(F.substring("map_", F.floor(F.col("place_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("place_") % 8).cast("int") + 1)
+    return keyed.join(F.broadcast(maps), "bucket_").where(byte.bitwiseAND(mask) != 0).select(*rows.columns)
+
+
+def members(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Windows (sign, n, doc, copy, h, lo, at, hi) whose sign another document has, with an equal side; n: windows of the sign.
+
+    Where a document holds the minimum more than once, sides don't count for its sign.
+    Signs are counted by aggregation and joined back, so one that a third of the rows hold is split.
     """
-    before = F.lag(F.struct("doc", "at")).over(Window.partitionBy("sign").orderBy("wide", "doc", "at"))
-    rows = group_rows.select("doc", "at", "h", "other", "first", before.alias("before"))
-    others = F.when(F.col("other").isNotNull(), F.array("other")).otherwise(F.array_distinct(F.array("first", "before")))
-    rows = rows.select("doc", "at", "h", others.alias("others"))
-    rows = rows.select("doc", "at", "h", F.explode("others").alias("other")).where("other.doc <> doc")
-    swap = F.col("other.doc") > F.col("doc")
-    rows = rows.select(
-        F.greatest("doc", "other.doc").alias("later"), F.least("doc", "other.doc").alias("earlier"),
-        F.struct("h", F.when(swap, F.col("other.at")).otherwise(F.col("at")).alias("x"), F.when(swap, F.col("at")).otherwise(F.col("other.at")).alias("y")).alias("hit"),
-    )
-    return rows.groupBy("later", "earlier").agg(F.collect_set("hit").alias("hits")).where(F.size(F.array_distinct(F.col("hits.h"))) >= ENOUGH)
-
-
-def other_collisions(group_rows: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(later, earlier, places): pairs of each member that no passage of ``found`` covers with every
-    earlier document of its group.
-
-    Members of the same document so near that one passage of ``min_words`` may hold both come along,
-    as their hash functions count towards the agreement.
+    counts = found.groupBy("sign").agg(F.sum("first").alias("docs"), F.count(F.lit(1)).alias("n")).where("docs > 1").select("sign", "n")
+    counts = scratch.table(counts, "counts")
+    rows = _among(found.drop("first"), ["sign"], counts, counts.count()).join(counts, "sign")
+    rows = scratch.table(rows, "rows")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("v")), F.struct(F.lit(1).alias("side"), F.col("after").alias("v"))))
+    both = rows.select("sign", "doc", "copy", sides.alias("s")).select("sign", "doc", "copy", "s.side", "s.v").where("v NOT IN (0, 1)")
+    key = F.struct("doc", "copy")
+    shared = both.groupBy("sign", "side", "v").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+    side = lambda k, c: shared.where(F.col("side") == k).select("sign", F.col("v").alias(c), F.lit(True).alias(f"has_{c}"))
+    rows = rows.join(side(0, "before"), ["sign", "before"], "left").join(side(1, "after"), ["sign", "after"], "left")
+    any_side = rows.where("before = 1").groupBy("sign").agg(F.lit(True).alias("any_side"))
+    rows = rows.join(any_side, "sign", "left")
+    return rows.where("any_side OR has_before OR has_after").select("sign", "n", "doc", "copy", "h", "lo", "at", "hi")
+
+
+def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with ``around``: 32 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
+
+    One document's windows are brought together with its text, which is read once; their number is
+    bounded by the text's length.
     """
-    least = min_words - SHINGLE + 1
-    rows = group_rows.select(F.coalesce("shared", "sign").alias("sign"), "doc", "at", "h", (F.col("other").isNotNull() | (F.col("first.doc") < F.col("doc"))).alias("late"))
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words") - SHINGLE).alias("stop"))).alias("spans"))
-    covered = F.exists("spans", lambda s: F.col("at").between(s["start"], s["stop"]))
-    late = rows.where("late").join(spans, "doc", "left").select("sign", "doc", "at", "h", (~F.coalesce(covered, F.lit(False))).alias("open"))
-    near = F.max("open").over(Window.partitionBy("doc").orderBy("at").rangeBetween(-least, least))
-    # one row for each document and group: texts that repeat themselves hold a signature in many places
-    late = late.withColumn("near", near).where("near").groupBy("sign", "h", F.col("doc").alias("later")).agg(F.max("open").alias("open"), F.collect_set("at").alias("xs"))
-    early = rows.groupBy("sign", F.col("doc").alias("earlier")).agg(F.collect_set("at").alias("ys"))
-    both = late.join(early, "sign").where("earlier < later").groupBy("later", "earlier")
-    found = both.agg(F.max("open").alias("open"), F.collect_list(F.struct("h", "xs", "ys")).alias("places"))
-    return found.where(F.col("open") & (F.size(F.array_distinct(F.col("places.h"))) >= ENOUGH)).drop("open")
-
-
-def hits_of(places: Column) -> Column:
-    """Hits of :func:`collisions` from the places of :func:`other_collisions`."""
-    pairs = lambda p: F.flatten(F.transform(p["xs"], lambda x: F.transform(p["ys"], lambda y: F.struct(p["h"].alias("h"), x.alias("x"), y.alias("y")))))
-    return F.flatten(F.transform(places, pairs))
-
-
-def passages(x: np.ndarray, y: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
-    """(start in x, words, start in y, similarity) of near-duplicate passages around shared signatures,
-    given as arrays of hash functions, places in x and places in y.
-
-    Hits join along their diagonals; where enough hash functions agree, the shingles equal on the
-    diagonals found are merged over small gaps, and a run stands if its exact Jaccard similarity
-    is high enough. A run that isn't similar enough as a whole is cut at its widest gap.
+    kind = dict(texts.dtypes)["doc"]
+    own = rows.groupBy("doc", "copy").agg(F.collect_list(F.struct("sign", "n", "h", "lo", "at", "hi")).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pad = WordHashes(), np.zeros(REACH, np.uint32)
+        steps = np.arange(_WIDTH)
+        for b in batches:
+            cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
+            field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "n", "h", "lo", "at", "hi")}
+            for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+                s = (tokens(text, known) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                s = np.concatenate([pad, s, pad])
+                for a in range(int(cuts[row]), int(cuts[row + 1]), 10_000):
+                    part = slice(a, min(a + 10_000, int(cuts[row + 1])))
+                    lo, at, hi = (field[k][part].astype(np.int64) for k in ("lo", "at", "hi"))
+                    place = at[:, None] + steps - REACH
+                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[at[:, None] + steps], 0).astype("<u4")
+                    which = pa.array(np.full(len(at), row))
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+                    yield pa.record_batch(
+                        [pa.array(field["sign"][part]), pa.array(field["n"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
+                        ["sign", "n", "doc", "copy", "h", "at", "around"],
+                    )
+
+    both = own.join(texts, ["doc", "copy"]).select("doc", "copy", "text", "w")
+    return both.mapInArrow(run, f"sign bigint, n bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
+
+
+def runs_of(around: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it is whole) of each run of LEAST tokens that holds the minimum, by rows."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    top = np.uint64(pow(int(base), LEAST, 1 << 64))
+    sums = np.zeros((len(around), _WIDTH + 1), np.uint64)
+    for k in range(_WIDTH):
+        sums[:, k + 1] = sums[:, k] * base + around[:, k]
+    whole = np.zeros((len(around), _WIDTH + 1), np.int32)
+    np.cumsum(around != 0, axis=1, out=whole[:, 1:])
+    return mixed((sums[:, LEAST:] - sums[:, :-LEAST] * top) ^ salt[:, None], 3), whole[:, LEAST:] - whole[:, :-LEAST] == LEAST
+
+
+def exact_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, tokens, source row, start there) of runs of LEAST tokens or more that an earlier document holds.
+
+    Rows are sorted by sign and document. Each run's source is the first row that holds it.
     """
-    least = min_words - SHINGLE + 1
-    diagonals: dict[int, set[int]] = {}
-    for h, d in set(zip(hits[0].tolist(), (hits[1] - hits[2]).tolist(), strict=True)):
-        diagonals.setdefault(d, set()).add(h)
-    found: list[tuple[int, int, int, float]] = []
-    clusters: list[list[int]] = []
-    for d in sorted(diagonals):
-        if clusters and d - clusters[-1][-1] <= 2 * SHINGLE:
-            clusters[-1].append(d)
-        else:
-            clusters.append([d])
-    for cluster in clusters:
-        if len(set.union(*(diagonals[d] for d in cluster))) < ENOUGH:
-            continue
-        shift = np.full(len(x), np.iinfo(np.int64).min)
-        for d in cluster:
-            lo, hi = max(0, d), min(len(x), len(y) + d)
-            if hi > lo:
-                same = np.flatnonzero(x[lo:hi] == y[lo - d : hi - d]) + lo
-                shift[same] = d
-        todo = [np.flatnonzero(shift > np.iinfo(np.int64).min)]
-        while todo:
-            at = todo.pop()
-            if not len(at) or at[-1] - at[0] + 1 < least:
-                continue
-            gaps = np.diff(at)
-            if len(gaps) and gaps.max() > 4 * SHINGLE:
-                todo += np.split(at, np.flatnonzero(gaps > 4 * SHINGLE) + 1)
-                continue
-            lo, hi = int(at[0]), int(at[-1])
-            y_lo, y_hi = int(lo - shift[lo]), int(hi - shift[hi])
-            a, b = x[lo : hi + 1], y[max(0, min(y_lo, y_hi)) : max(y_lo, y_hi) + 1]
-            both = len(np.intersect1d(a, b))
-            jaccard = both / max(1, len(np.unique(a)) + len(np.unique(b)) - both)
-            if jaccard >= similarity:
-                found.append((lo, hi - lo + SHINGLE, y_lo, jaccard))
-            elif len(gaps) and gaps.max() > 1:
-                todo += np.split(at, [int(gaps.argmax()) + 1])
-    return found
+    keys, whole = runs_of(around, sign)
+    row, step = np.nonzero(whole)
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
+    _, first, which = np.unique(keys[row, step], return_index=True, return_inverse=True)
+    source, place = row[first[which]], step[first[which]]
+    other = doc[source] != doc[row]
+    row, step, source, place = row[other], step[other], source[other], place[other]
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 5
+    new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(step) != 1) | (np.diff(source) != 0) | (np.diff(place) != 1)])
+    at_new = np.flatnonzero(new)
+    n = np.diff(np.concatenate([at_new, [len(row)]])) + LEAST - 1
+    return row[at_new], at[row[at_new]] - REACH + step[at_new], n, source[at_new], at[source[at_new]] - REACH + place[at_new]
+
+
+def near_spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, from in y, to in y) of each row's longest run around the minimum that may be SIMILARITY like; from > to if there is none.
+
+    A token counts as shared if it stands at the same distance from the minimum, give or take SHIFT.
+    """
+    n, shift = len(x), np.full(x.shape, SHIFT + 1, np.int8)
+    padded = np.zeros((n, _WIDTH + 2 * SHIFT), np.uint32)
+    padded[:, SHIFT : SHIFT + _WIDTH] = y
+    for d in sorted(range(-SHIFT, SHIFT + 1), key=abs, reverse=True):
+        shift[(padded[:, SHIFT + d : SHIFT + d + _WIDTH] == x) & (x != 0)] = d
+    shared = shift <= SHIFT
+    # of runs of one length, k of l shared, k / (2 l - k) is SIMILARITY or more where the sum below isn't negative
+    gain = np.where(shared, 1 - SIMILARITY, np.where(x != 0, -2 * SIMILARITY, -1e6))
+    left = np.cumsum(gain[:, REACH - 1 :: -1], axis=1)[:, ::-1]
+    left = np.concatenate([left, np.zeros((n, 1))], axis=1)  # by where the run begins
+    right = np.cumsum(gain[:, REACH:], axis=1)  # by where it ends
+    start, stop = np.full(n, 1), np.zeros(n, np.int64)
+    begins, ends = np.arange(REACH + 1), np.arange(REACH, _WIDTH)
+    length = ends[None, :] - begins[:, None] + 1
+    for a in range(0, n, 1000):
+        p = slice(a, a + 1000)
+        fits = (left[p, :, None] + right[p, None, :] >= -1e-9) & (length >= LEAST) & shared[p, : REACH + 1, None] & shared[p, None, REACH:]
+        best = np.where(fits, length, 0).reshape(len(fits), -1)
+        k = best.argmax(axis=1)
+        good = best[np.arange(len(best)), k] > 0
+        start[p] = np.where(good, begins[k // len(ends)], 1)
+        stop[p] = np.where(good, ends[k % len(ends)], 0)
+    each = np.arange(n)
+    return start, stop, start + shift[each, start], stop + shift[each, stop]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = set(a.tolist()), set(b.tolist())
+    return len(a & b) / max(1, len(a | b))
+
+
+def near_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
+    """(row, from, to, source row, from there, similarity) of passages that an earlier document holds with
+    edits, and which rows stand for their group: those that no earlier row equals for LEAST tokens.
+
+    Rows are sorted by sign and document. In each round the first row left of every group is compared
+    with all others left in it, so each row meets all earlier ones that stand for the group. A row
+    gets links that cover more of it or connect it with rows it isn't yet connected with.
+    """
+    n = len(sign)
+    group = np.cumsum(np.concatenate([[0], np.diff(sign) != 0])) if n else np.zeros(0, np.int64)
+    label, low, high = np.arange(n), np.full(n, _WIDTH), np.full(n, -1)
+    left, stands, links = np.arange(n), np.zeros(n, bool), []
+    while len(left):
+        head = np.concatenate([[True], np.diff(group[left]) != 0])
+        pivots = left[head]
+        stands[pivots] = True
+        pivot = pivots[np.cumsum(head) - 1]
+        row, pivot = left[~head], pivot[~head]
+        x, y = around[row], around[pivot]
+        same = (x == y) & (x != 0)
+        back = np.where(same[:, REACH::-1].all(axis=1), REACH + 1, same[:, REACH::-1].argmin(axis=1))
+        ahead = np.where(same[:, REACH:].all(axis=1), REACH + 1, same[:, REACH:].argmin(axis=1))
+        equal = back + ahead - 1
+        other = doc[row] != doc[pivot]
+        room = np.minimum((x[:, :REACH] != 0).sum(axis=1), (y[:, :REACH] != 0).sum(axis=1)) + np.minimum((x[:, REACH:] != 0).sum(axis=1), (y[:, REACH:] != 0).sum(axis=1))
+        exact = other & (equal >= LEAST)
+        # an edit on either side may keep equal tokens out of reach of the equal run, or shift them
+        more = np.where(equal >= LEAST, same.sum(axis=1) - equal >= SIDE, np.maximum(back, ahead) >= SIDE)
+        near = np.flatnonzero(other & more & (room + 2 * SHIFT >= LEAST))
+        if len(near):
+            a, b, c, d = near_spans(x[near], y[near])
+            for k in np.flatnonzero((a <= b) & (c <= d)).tolist():
+                i, p = int(row[near[k]]), int(pivot[near[k]])
+                if label[i] == label[p] and low[i] <= a[k] and high[i] >= b[k]:
+                    continue
+                like = jaccard(around[i, a[k] : b[k] + 1], around[p, max(0, c[k]) : d[k] + 1])
+                if like >= SIMILARITY:
+                    links.append((i, int(a[k]), int(b[k]), p, int(c[k]), like))
+                    low[i], high[i] = min(low[i], a[k]), max(high[i], b[k])
+                    own = slice(np.searchsorted(group, group[i]), np.searchsorted(group, group[i], "right"))
+                    label[own][label[own] == label[i]] = label[p]
+        left = row[~(exact | (~other & (equal >= LEAST)))]
+    return links, stands
 
 
-def _only(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids``, and a few others: a bitmap of hashed ids, of 32 MB
-    at most, spares the other texts a shuffle. The joins that follow are exact."""
-    bits = 1 << min(28, max(20, (16 * n).bit_length()))
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    maps = ids.select(bit("doc").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    keyed = docs.withColumn("bit", bit("doc")).withColumn("bucket", F.bitmap_bucket_number("bit")).withColumn("place", F.bitmap_bit_position("bit"))
-    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("place") % 8).cast("int") + 1)
-    return keyed.join(F.broadcast(maps), "bucket").where(byte.bitwiseAND(mask) != 0).select("doc", "text")
+_LINK = "doc {0}, copy bigint, start bigint, n bigint, source {0}, source_copy bigint, source_start bigint, similarity double, h tinyint"
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, n_words, source, source_start, similarity): passages of 50 words or more that a
-    document shares, with a similarity of 0.8 or more on five-word shingles, with an earlier one
-    (of smaller id).
+def _link_batch(ids: pa.Array, copies: pa.Array, row, start, n, source, source_start, like, h) -> pa.RecordBatch:
+    row, source = (pa.array(np.asarray(v, np.int64)) for v in (row, source))
+    columns = [ids.take(row), copies.take(row), pa.array(np.asarray(start, np.int64)), pa.array(np.asarray(n, np.int64)), ids.take(source), copies.take(source)]
+    columns += [pa.array(np.asarray(source_start, np.int64)), pa.array(np.asarray(like, np.float64)), pa.array(np.asarray(h, np.int8))]
+    return pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h"])
+
 
-    Each holder of a passage but the earliest is linked to some earlier holder, whichever of its
-    groups' documents that is; links add up to classes. Positions count words from 0. Words are
-    lower-cased in A-Z. Rows without an id are left out, rows that share one count as one document's; null, empty and shorter texts have no
-    passages, and no documents give no rows. Repeats inside one document aren't reported.
+def _whole_groups(batches: Iterator[pa.RecordBatch], size: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """Batches, sorted by their first column, joined and cut so that no group is divided."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kept.append(b)
+        if sum(k.num_rows for k in kept) >= size:
+            whole = pa.concat_batches(kept)
+            keys = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield whole.slice(0, cut)
+                kept = [whole.slice(cut)]
+            else:
+                kept = [whole]
+    if kept:
+        yield pa.concat_batches(kept)
+
+
+def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> DataFrame:
+    """Links among the rows (key, sign, doc, copy, h, at, around) of each key; with ``survivors``, rows that
+    stand for their key come along, with no source but ``sign`` and ``around``.
+
+    Each key has a bounded number of rows, which one task sorts and compares.
+    """
+    kind = dict(rows.dtypes)["doc"]
+    schema = _LINK.format(kind) + (", sign bigint, around binary" if survivors else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches):
+            sign, at, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 5, 4))
+            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            ids, copies = b.column(2), b.column(3)
+            changes = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(copies[1:], copies[:-1])).to_numpy(zero_copy_only=False)
+            doc = np.cumsum(np.concatenate([[True], changes | (np.diff(sign) != 0)]))  # a document's rows of a key stand together
+            out = []
+            if exact and (first := np.flatnonzero(h == 0)).size:
+                r, start, n, s, s_start = exact_links(around[first], sign[first].view(np.uint64), doc[first], at[first])
+                out.append(_link_batch(ids, copies, first[r], start, n, first[s], s_start, np.ones(len(r)), np.zeros(len(r))))
+            links, stands = near_links(around, sign, doc)
+            if links:
+                r, a, z, s, c, like = (np.array(v) for v in zip(*links, strict=True))
+                out.append(_link_batch(ids, copies, r, at[r] - REACH + a, z - a + 1, s, at[s] - REACH + c, like, h[r]))
+            for o in out:
+                if survivors:
+                    o = pa.record_batch([*o.columns, pa.nulls(o.num_rows, pa.int64()), pa.nulls(o.num_rows, pa.binary())], [*o.schema.names, "sign", "around"])
+                yield o
+            if survivors:
+                k = np.flatnonzero(stands)
+                w = pa.array(k)
+                columns = [ids.take(w), copies.take(w), pa.array(at[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), ids.type), *(pa.nulls(len(k), pa.int64()),) * 2, pa.nulls(len(k), pa.float64())]
+                columns += [pa.array(h[k].astype(np.int8)), b.column(1).take(w), b.column(6).take(w)]
+                yield pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h", "sign", "around"])
+
+    rows = rows.select("key", "sign", "doc", "copy", "h", "at", "around")
+    return rows.repartition("key").sortWithinPartitions("key", "sign", "doc", "copy", "at").mapInArrow(run, schema)
+
+
+def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links among rows whose sign has more than HOT of them, in keys of bounded size.
+
+    Exact runs are matched by aggregation and a join, which need no group together. For edited
+    passages a sign's rows are split by document; those that stand for their part are compared
+    with those of every other part, two parts to a task.
+    """
+    kind = dict(rows.dtypes)["doc"]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            keys, whole = runs_of(around, b.column(0).to_numpy().view(np.uint64))
+            row, step = np.nonzero(whole)
+            which = pa.array(row)
+            start = b.column(3).to_numpy()[row].astype(np.int64) - REACH + step
+            yield pa.record_batch([b.column(0).take(which), pa.array(keys[row, step].view(np.int64)), b.column(1).take(which), b.column(2).take(which), pa.array(start)], ["sign", "run", "doc", "copy", "start"])
+
+    runs = rows.where("h = 0").select("sign", "doc", "copy", "at", "around").mapInArrow(explode, f"sign bigint, run bigint, doc {kind}, copy bigint, start bigint")
+    firsts = runs.groupBy("sign", "run").agg(F.min(F.struct("doc", "copy", "start")).alias("first"), F.max(F.struct("doc", "copy")).alias("last")).where("first.doc <> last.doc OR first.copy <> last.copy")
+    held = runs.join(firsts.select("sign", "run", "first"), ["sign", "run"]).where("doc <> first.doc OR copy <> first.copy")
+    exact = held.select("doc", "copy", "start", F.lit(LEAST).cast("bigint").alias("n"), F.col("first.doc").alias("source"), F.col("first.copy").alias("source_copy"), F.col("first.start").alias("source_start"), F.lit(1.0).alias("similarity"), F.lit(0).cast("tinyint").alias("h"))
+    part = lambda n: F.pmod(F.xxhash64("doc", "copy"), F.ceil(F.col(n) / HOT))
+    once = scratch.table(compared(rows.withColumn("key", F.xxhash64("sign", part("n"))), False, True), "once")
+    standing = once.where("source IS NULL").select("sign", "doc", "copy", "h", F.col("start").cast("int").alias("at"), "around")
+    parts = standing.join(standing.groupBy("sign").agg(F.count(F.lit(1)).alias("m")), "sign")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("m") / HOT) - 1))
+    parts = parts.withColumn("own", part("m")).withColumn("other", other)
+    again = compared(parts.withColumn("key", F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))), False)
+    return union_all([exact, once.where("source IS NOT NULL").drop("sign", "around"), again])
+
+
+def merged(links: DataFrame) -> DataFrame:
+    """(doc, copy, start, n_words, source, source_copy, source_start, similarity): links of one document to one
+    place of another that overlap, as one passage.
+
+    A link by edited tokens stands if ENOUGH hash functions join the passage, with whichever
+    documents, or if it goes on from an exact run, whose hash functions agree by themselves.
     """
+    kind = dict(links.dtypes)["doc"]
+    own = links.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "n", "source", "source_copy", "source_start", "similarity", "h")).alias("l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts, values = b.column(2).offsets.to_pylist(), b.column(2).values
+            start, n, copy, there, h = (values.field(k).to_numpy().astype(np.int64) for k in ("start", "n", "source_copy", "source_start", "h"))
+            like, ids = values.field("similarity").to_numpy(), values.field("source")
+            row = np.repeat(np.arange(b.num_rows), np.diff(cuts))
+            kept = np.ones(len(start), bool)
+            for i in np.unique(row[like < 1]).tolist():
+                p = slice(cuts[i], cuts[i + 1])
+                kept[p] = supported(start[p], n[p], like[p], h[p])
+            k = np.flatnonzero(kept)
+            source = ids.take(pa.array(k)).dictionary_encode().indices.to_numpy().astype(np.int64) if len(k) else k
+            order = np.lexsort((start[k], start[k] - there[k], copy[k], source, row[k]))
+            k, source = k[order], source[order]
+            stop = start[k] + n[k]
+            same = (np.diff(row[k]) == 0) & (np.diff(source) == 0) & (np.diff(copy[k]) == 0) & (np.diff(start[k] - there[k]) == 0)
+            heads, last, reach, least = [], [], -1, 1.0
+            for j, (a, z, joins, s) in enumerate(zip(start[k].tolist(), stop.tolist(), [False, *same.tolist()], like[k].tolist())):
+                if joins and a <= reach:
+                    reach, least = max(reach, z), min(least, s)
+                    last[-1] = (reach, least)
+                else:
+                    reach, least = z, s
+                    heads.append(j), last.append((z, s))
+            at = k[np.array(heads, np.int64)]
+            which, pick = pa.array(row[at]), pa.array(at)
+            words = np.array([z for z, _ in last], np.int64) - start[at] + SHINGLE - 1
+            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(start[at]), pa.array(words), ids.take(pick), pa.array(copy[at]), pa.array(there[at]), pa.array(np.array([s for _, s in last], np.float64))]
+            yield pa.record_batch(columns, ["doc", "copy", "start", "n_words", "source", "source_copy", "source_start", "similarity"])
+
+    return own.mapInArrow(run, f"doc {kind}, copy bigint, start bigint, n_words bigint, source {kind}, source_copy bigint, source_start bigint, similarity double")
+
+
+def supported(start: np.ndarray, n: np.ndarray, like: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which links of one document ENOUGH hash functions, or an exact run, agree on over half a least passage."""
+    base = int(start.min())
+    size, votes = int((start + n).max()) - base + 1, np.zeros(len(start), np.int64)
+    for group, weight in [*((np.flatnonzero((like < 1) & (h == k)), 1) for k in range(HASHES)), (np.flatnonzero(like == 1), ENOUGH)]:
+        if len(group):
+            edge = np.zeros(size, np.int64)
+            np.add.at(edge, start[group] - base, 1)
+            np.add.at(edge, start[group] + n[group] - base, -1)
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+            votes += weight * (covered[start + n - base] - covered[start - base] >= LEAST // 2)
+    return (votes >= ENOUGH) | (like == 1)
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of :func:`merged` for all of ``docs``; a row of ``docs`` is known by its id and ``copy``, a hash of its text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    groups = scratch.table(members(signatures(texts)), "groups")
+    texts = texts.select("doc", F.xxhash64("text").alias("copy"), "text")
+    rows = scratch.table(members(scratch.table(windows(texts), "windows"), scratch), "members")
+    for name in ("windows", "rows"):
+        scratch.drop(name)
     free(spark)
-    pairs = scratch.table(collisions(groups), "pairs")
-    found = scratch.table(_verified(pairs, F.col("hits"), texts, scratch, "texts"), "found")
-    scratch.drop("texts"), scratch.drop("pairs")
+    # a table, so that the join reads plain shuffles, which adaptive execution can split
+    ids = rows.select("doc", "copy").distinct()
+    kept = _among(texts, ["doc", "copy"], ids, ids.count()).groupBy("doc", "copy").agg(F.first("text").alias("text"))
+    around = scratch.table(surroundings(rows, kept), "around")
     free(spark)
-    rest = scratch.table(other_collisions(groups, found), "other_pairs")
-    scratch.drop("groups")
+    links = [compared(around.where(F.col("n") <= HOT).withColumn("key", F.col("sign")))]
+    if not around.where(F.col("n") > HOT).isEmpty():
+        links.append(hot_links(around.where(F.col("n") > HOT), scratch))
+    found = scratch.table(merged(union_all(links)), "found")
+    for name in ("counts", "members", "around", "once"):
+        scratch.drop(name)
     free(spark)
-    return found.unionByName(_verified(rest, hits_of(F.col("places")), texts, scratch, "other_texts")).distinct()
-
-
-def _verified(pairs: DataFrame, hits: Column, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Passages of :func:`repeated_passages` in the given pairs of documents (later, earlier), with their ``hits``."""
-    n = pairs.count()
-    ids = pairs.select(F.col("later").alias("doc")).unionByName(pairs.select(F.col("earlier").alias("doc"))).distinct()
-    # a table, so that the joins below read plain shuffles, which adaptive execution can split where
-    # one document is the source of many
-    kept = scratch.table(_only(texts, ids, 2 * n).groupBy("doc").agg(F.max("text").alias("text")), name)
-    both = pairs.join(kept.select(F.col("doc").alias("later"), F.col("text").alias("x")), "later")
-    both = both.join(kept.select(F.col("doc").alias("earlier"), F.col("text").alias("y")), "earlier")
-    kind = dict(texts.dtypes)["doc"]
+    return found
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
-            rows, out = [], []
-            last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-            xs, ys = b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())
-            cuts, all_hits = b.column(4).offsets.to_pylist(), b.column(4).values
-            h, i, j = (all_hits.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            for row, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                x, y = xs[row].as_py(), ys[row].as_py()
-                if x == y:  # copies are one passage, and holding signatures they are long enough
-                    rows.append(row), out.append((0, len(x.split()), 0, 1.0))
-                    continue
-                if y != last[0]:
-                    last = (y, tokens(y, known))
-                for p in passages(tokens(x, known), last[1], (h[lo:hi], i[lo:hi], j[lo:hi])):
-                    rows.append(row), out.append(p)
-            cols = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            start, words, other, like = (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True))
-            take = pa.array(rows, pa.int64())
-            yield pa.record_batch([b.column(0).take(take), start, words, b.column(1).take(take), other, like], ["doc", "start", "n_words", "source", "source_start", "similarity"])
 
-    schema = f"doc {kind}, start bigint, n_words bigint, source {kind}, source_start bigint, similarity double"
-    return both.select("later", "earlier", "x", "y", hits.alias("hits")).mapInArrow(verify, schema)
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, start, n_words, source, source_start, similarity, class, n_links): passages of 50 words or more that a
+    document shares, with a similarity of 0.8 or more on five-word shingles, with an earlier one
+    (of smaller id).
+
+    Each run of 50 words of a document that an earlier one holds lies in a passage, whatever holds
+    it; edited passages are found with the probability that ENOUGH of HASHES min-hashes agree. The
+    source is the earliest holder of an exact run. ``class`` is the smallest document that links
+    lead to, ``n_links`` the number of documents that a document has links with; copies have links
+    with one holder only. Positions count words from 0, lower-cased in A-Z. Rows without an id are
+    left out; rows that share an id and a text count as one, those that share only an id as
+    several, told apart by a hash of their text. Null, empty and shorter texts have no passages,
+    and no documents give no rows. Repeats inside one document aren't reported.
+    """
+    found = passages(docs, id_col, text_col)
+    scratch = Scratch(docs.sparkSession)
+    edges = found.where("doc <> source").select(F.col("doc").alias("u"), F.col("source").alias("v")).distinct()
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    classes = connected_components(edges, scratch).select(F.col("node").alias("doc"), F.col("root").alias("class"))
+    classes = classes.join(both.groupBy(F.col("u").alias("doc")).agg(F.count(F.lit(1)).alias("n_links")), "doc")
+    rows = found.select("doc", "start", "n_words", "source", "source_start", "similarity").distinct().join(classes, "doc", "left")
+    return rows.withColumn("class", F.coalesce("class", "doc")).na.fill({"n_links": 0})
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -313,11 +570,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with every repeated passage cut out of all documents but the earliest that holds it.
 
     Documents of which no word is left are dropped; others keep their row and columns, so texts
-    that had no words to begin with stay.
+    that had no words to begin with stay. Of rows that share an id each loses what its own text repeats.
     """
-    name = unused("spans", docs)
-    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("doc").alias(id_col)).agg(F.collect_set(F.struct("start", "n_words")).alias(name))
-    joined = docs.join(spans, id_col, "left").select(*docs.columns, name)
+    name, copy = unused("spans", docs), unused("copy", docs)
+    spans = passages(docs, id_col, text_col).groupBy(F.col("doc").alias(id_col), F.col("copy").alias(copy)).agg(F.collect_set(F.struct("start", "n_words")).alias(name))
+    joined = docs.withColumn(copy, F.xxhash64(F.col(text_col).cast("string"))).join(spans, [id_col, copy], "left").select(*docs.columns, name)
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,42 +171,103 @@ def test_encoder_equals_tokenizer(texts):
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in all_]
 
 
-def test_op4_finds_all_exact_passages(spark, sf, texts):
-    got = rows(QUERIES["op4_substring_dedup"](spark, sf), "doc_id", "source_doc_id", "start", "n_words", "source_start", "similarity")
+def repeated_runs(texts, n=50):
+    """Places of each document's ``n``-word runs that a document of smaller id holds."""
+    first, need = {}, collections.defaultdict(set)
+    for i in sorted(texts):
+        w = WORD.findall(low(texts[i]))
+        for j in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[j : j + n]), i) != i:
+                need[i].add(j)
+    return need
+
+
+def covered_runs(found, n=50):
+    """The same of passages (doc, start, n_words)."""
+    got = collections.defaultdict(set)
+    for i, start, words in found:
+        got[i] |= set(range(start, start + words - n + 1))
+    return got
+
+
+def check_passages(texts, found):
+    """Each passage (doc, source, start, n_words, source_start, similarity) is what it says."""
     words = {i: WORD.findall(low(t)) for i, t in texts.items()}
-    holders = collections.defaultdict(set)
-    for i, w in words.items():
-        for j in range(len(w) - 49):
-            holders[tuple(w[j : j + 50])].add(i)
-    need = {i for h in holders.values() if len(h) > 1 for i in h - {min(h)}}
-    assert need <= {r[0] for r in got}
-    sets = lambda i, a, n: {tuple(words[i][j : j + 5]) for j in range(a, min(a + n, len(words[i])) - 4)}
-    for d, s, a, n, b, like in got:
-        assert s < d and n >= 50 and like >= 0.8
+    sets = lambda i, a, n: {tuple(words[i][j : j + 5]) for j in range(a, a + n - 4)}
+    for d, s, a, n, b, like in found:
+        assert s < d and 0 <= a and n >= 50 and a + n <= len(words[d]) and like >= 0.8
         if like == 1.0:
-            assert sets(d, a, n) & sets(s, b, n)
+            assert words[d][a : a + n] == words[s][b : b + n] or sets(d, a, n) <= sets(s, max(0, b - 3), n + 6)
+
+
+def test_op4_covers_all_exact_passages(spark, sf, texts):
+    got = rows(QUERIES["op4_substring_dedup"](spark, sf), "doc_id", "source_doc_id", "start", "n_words", "source_start", "similarity", "class_id", "n_links")
+    need, have = repeated_runs(texts), covered_runs([(r[0], r[2], r[3]) for r in got])
+    assert need and all(runs <= have[i] for i, runs in need.items())
+    check_passages(texts, [r[:6] for r in got])
+    parent = {i: i for i in texts}
+    for d, s, *_ in got:
+        x, y = find(parent, d), find(parent, s)
+        parent[max(x, y)] = min(x, y)
+    links = collections.defaultdict(set)
+    for d, s, *_ in got:
+        links[d].add(s), links[s].add(d)
+    assert all(r[6] == find(parent, r[0]) and r[7] == len(links[r[0]]) for r in got)
+
+
+@pytest.mark.parametrize("hot", [substring.HOT, 8])
+def test_op4_passages_of_common_phrases(spark, monkeypatch, hot):
+    """Texts of 12 out of 18 phrases of 17 words, three rows to a batch; also with groups split at eight rows."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    r = np.random.default_rng(8)
+    phrases = [[f"p{k}w{j}" for j in range(17)] for k in range(18)]
+    texts = {i: " ".join(w for k in r.permutation(18)[:12] for w in phrases[k]) for i in range(500 if hot > 8 else 60)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = rows(substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")), "doc", "source", "start", "n_words", "source_start", "similarity")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    need, have = repeated_runs(texts), covered_runs([(x[0], x[2], x[3]) for x in got])
+    assert need and all(runs <= have[i] for i, runs in need.items())
+    check_passages(texts, got)
 
 
 def test_compact_windows_cover_each_run_once():
     r = np.random.default_rng(2)
-    v = r.integers(0, 40, 60)
-    windows = list(substring.compact_windows(v, 7))
+    v = substring.mixed(r.integers(1, 40, 60).astype(np.uint64), 0)
+    windows = list(zip(*substring.compact_windows(v, 7, np.array([20])), strict=True))
     for a in range(60):
         for b in range(a + 6, 60):
             holding = [w for w in windows if w[0] <= a <= w[1] <= b <= w[2]]
-            assert len(holding) == 1 and holding[0][1] == a + int(v[a : b + 1].argmin())
-
-
-def test_near_copies_with_edits(spark):
-    r = np.random.default_rng(4)
-    base = [f"w{i}" for i in r.integers(0, 5000, 300)]
-    near = base.copy()
-    for k in range(60, 300, 60):
-        near[k] = "edit"
-    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"z{i}" for i in range(300)))], "doc_id bigint, text string")
-    got = rows(substring.repeated_passages(docs), "doc", "source")
-    assert got and set(got) == {(2, 1)}
-    assert substring.cut(b"a b  c\nd e", [(1, 2)]) == b"a d e"
+            if a <= 20 <= b:
+                assert not holding
+            else:
+                assert len(holding) == 1 and v[holding[0][1]] == v[a : b + 1].min()
+
+
+def test_windows_of_one_repeated_word_are_few():
+    v = np.full(1_000_000, 12345, np.uint64)
+    assert len(substring.compact_windows(substring.mixed(v, 1))[0]) < 100_000
+
+
+def test_near_spans_by_brute_force():
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        base = r.integers(1, 1 << 31, 91).astype(np.uint32)
+        x, y = base.copy(), base.copy()
+        for at in r.choice(91, 6):
+            x[at : at + 5] = r.integers(1, 1 << 31, len(x[at : at + 5]))
+        if r.random() < 0.5:  # a word more on one side
+            y = np.concatenate([y[:60], r.integers(1, 1 << 31, 1).astype(np.uint32), y[60:-1]])
+        start, stop, c, d = (int(v[0]) for v in substring.near_spans(x[None], y[None]))
+        shared = [any(0 <= k + s < 91 and x[k] == y[k + s] for s in range(-3, 4)) for k in range(91)]
+        best = 0
+        for i in range(46):
+            for j in range(max(45, i + 45), 91):
+                k = sum(shared[i : j + 1])
+                if shared[i] and shared[j] and k / (2 * (j - i + 1) - k) >= 0.8 - 1e-9:
+                    best = max(best, j - i + 1)
+        assert max(0, stop - start + 1) == best
+        assert not best or (x[start] == y[c] and x[stop] == y[d])
 
 
 def family(n=300, seed=3):
@@ -224,29 +285,68 @@ def family(n=300, seed=3):
     return docs
 
 
-def test_op4_edited_copies_find_an_original_of_any_id(spark):
-    docs = family()
-    got = {(r[0], r[1]) for r in rows(substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc", "source")}
-    # every later copy that agrees with the original, or any earlier text, under two hash functions and is similar enough
-    known = substring.WordHashes()
-    shingles = {i: substring.tokens(t.encode(), known) for i, t in docs}
-    signs = collections.defaultdict(set)
-    for i, s in shingles.items():
-        near = substring._run_hashes(s, substring.NEAR)
-        for h in range(substring.HASHES):
-            for _, at, _ in substring.compact_windows(substring.mixed(s, h), 46):
-                for side, begin in enumerate((at - substring.NEAR + 1, at)):
-                    if 0 <= begin < len(near):
-                        signs[i].add((h, side, int(near[begin]), at))
-    want = set()
-    for i, x in shingles.items():
-        for j, y in shingles.items():
-            if j < i and i not in want:
-                at = {(h, side, v): a for h, side, v, a in signs[j]}
-                hits = [(h, a, at[h, side, v]) for h, side, v, a in signs[i] if (h, side, v) in at]
-                if len({h for h, *_ in hits}) >= 2 and substring.passages(x, y, tuple(np.array(c) for c in zip(*hits, strict=True))):
-                    want.add(i)
-    assert len(want) > 100 and want == {i for i, _ in got}
+def similar(x, y, least=50):
+    """Whether texts of 100 words, alike at the same places only, share a passage of 0.8."""
+    for a in range(len(x) - least + 1):
+        for b in range(a + least, len(x) + 1):
+            k = sum(x[j : j + 5] == y[j : j + 5] for j in range(a, b - 4))
+            if k >= 0.8 * (2 * (b - a - 4) - k):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("hot", [substring.HOT, 64])
+def test_op4_edited_copies_find_an_original_of_any_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    docs = family(200)
+    got = rows(substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc", "source", "start", "n_words", "source_start", "similarity")
+    check_passages(dict(docs), got)
+    words = {i: t.split()[18:82] for i, t in docs}
+    want = {i for i in words if any(similar(words[i], words[j]) for j in range(i))}
+    assert len(want) > 100 and {r[0] for r in got} <= want and len({r[0] for r in got}) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_op4_recall_of_edited_passages(spark, kind):
+    """100 pairs of texts that share a passage of 60 to 100 words with one or two edits."""
+    r = np.random.default_rng(11)
+    docs = []
+    for i in range(100):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 60 + 40 * (i % 2))]
+        other = list(words)
+        for k in range(1 + i % 2):
+            at = len(words) * (k + 1) // (2 + i % 2) + int(r.integers(-8, 8))
+            other[at : at + (kind != "insert")] = [] if kind == "delete" else ["edit"]
+        for j, w in enumerate((words, other)):
+            docs.append((2 * i + j, " ".join([f"l{i}x{j}y{k}" for k in range(30)] + w + [f"r{i}x{j}y{k}" for k in range(30)])))
+    got = rows(substring.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")), "doc", "source", "start", "n_words", "source_start", "similarity")
+    assert {(d, s) for d, s, *_ in got} <= {(2 * i + 1, 2 * i) for i in range(100)}
+    assert len({d for d, *_ in got}) >= 90
+    check_passages(dict(docs), got)
+
+
+def test_near_copies_with_edits(spark):
+    r = np.random.default_rng(4)
+    base = [f"w{i}" for i in r.integers(0, 5000, 300)]
+    near = base.copy()
+    for k in range(60, 300, 60):
+        near[k] = "edit"
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"z{i}" for i in range(300)))], "doc_id bigint, text string")
+    got = rows(substring.repeated_passages(docs), "doc", "source")
+    assert got and set(got) == {(2, 1)}
+    assert substring.cut(b"a b  c\nd e", [(1, 2)]) == b"a d e"
+
+
+def test_op4_rows_that_share_an_id(spark):
+    """Different texts under one id are cut each by its own repeats, in either order."""
+    passage = " ".join(f"p{k}" for k in range(80))
+    other = " ".join(f"o{k}" for k in range(180))
+    held = " ".join([*(f"x{k}" for k in range(60)), passage, *(f"y{k}" for k in range(40))])
+    first = " ".join([passage, *(f"z{k}" for k in range(30))])
+    for two in ((other, held), (held, other)):
+        docs = spark.createDataFrame([(1, first), (5, two[0]), (5, two[1]), (5, two[1])], "doc_id bigint, text string")
+        want = sorted([(1, first), (5, other), (5, held.replace(passage + " ", ""))] + [(5, two[1] if two[1] == other else held.replace(passage + " ", ""))])
+        assert rows(substring.without_repeats(docs), "doc_id", "text") == want
 
 
 def test_op6(spark, sf, duck):
