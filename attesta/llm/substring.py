@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, free, union_all, unused
@@ -108,20 +109,23 @@ def _run_hashes(shingles: np.ndarray, width: int) -> np.ndarray:
     return mixed(key[:n], 0)
 
 
-def _again(values: np.ndarray) -> np.ndarray:
-    """Which values occur more than once."""
-    order, out = np.argsort(values), np.zeros(len(values), bool)
-    same = np.flatnonzero(np.diff(values[order]) == 0)
-    out[order[same]] = out[order[same + 1]] = True
+def _near_again(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which tokens stand a second time within REACH."""
+    padded = np.concatenate([np.zeros(REACH, s.dtype), s, np.zeros(REACH, s.dtype)])
+    out = np.zeros(len(at), bool)
+    for a in range(0, len(at), 10_000):
+        p = slice(a, a + 10_000)
+        out[p] = (padded[at[p, None] + np.arange(_WIDTH)] == s[at[p], None]).sum(axis=1) > 1
     return out
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(sign, doc, copy, h, lo, at, hi, before, after, first) of all compact windows of ``texts`` (doc, copy, text).
+    """(sign, doc, copy, h, lo, at, hi, before, after, again, first) of all compact windows of ``texts`` (doc, copy, text).
 
     ``sign`` is the min-hash, told apart by hash function; ``before`` and ``after`` hash the SIDE
-    tokens that end and begin at it (0: there aren't so many; 1: the document holds it elsewhere too); ``first`` is 1 for one window of
-    each sign in a document. One pass, some HASHES rows for each 23 words.
+    tokens that end and begin at it (0: there aren't so many). ``again`` is 1 if it stands a second
+    time within REACH: which of the two counts as least may differ between texts, and so may the sides.
+    ``first`` is 1 for one window of each sign in a document. One pass, some HASHES rows for each 23 words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +143,6 @@ def windows(texts: DataFrame) -> DataFrame:
             sizes = np.array([len(p) for p in parts[1::2]], np.int64)
             ends = np.cumsum(sizes + 1)  # places of the gaps after the documents
             begins, breaks = ends - sizes, np.concatenate([[0], ends])
-            again = _again(s + np.repeat(np.arange(len(sizes) + 1, dtype=np.uint64), np.concatenate([[1], sizes + 1])) * _MULTIPLIERS[4])
             sides = (_run_hashes(s, SIDE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             for h in range(HASHES):
                 v = mixed(s, h)
@@ -148,8 +151,6 @@ def windows(texts: DataFrame) -> DataFrame:
                 begin, end = begins[doc], ends[doc]
                 before = np.where(at - SIDE + 1 >= begin, sides[np.maximum(at - SIDE + 1, 0)], 0)
                 after = np.where(at + SIDE <= end, sides[np.minimum(at, len(sides) - 1)], 0)
-                # which of equal tokens counts as least may differ between texts, and so may its sides
-                before, after = np.where(again[at], 1, before), np.where(again[at], 1, after)
                 sign = mixed(v[at] ^ np.uint64(h), 5).view(np.int64)
                 order = np.lexsort((sign, doc))
                 new = np.concatenate([[True], (np.diff(sign[order]) != 0) | (np.diff(doc[order]) != 0)])[: len(at)]
@@ -157,44 +158,54 @@ def windows(texts: DataFrame) -> DataFrame:
                 first[order[new]] = 1
                 which = pa.array(np.array(rows)[doc])
                 ints = [pa.array(x.astype(np.int32)) for x in (lo - begin, at - begin, hi - begin, before, after)]
-                columns = [pa.array(sign), b.column(0).take(which), b.column(1).take(which), pa.array(np.full(len(at), h, np.int8)), *ints, pa.array(first)]
-                yield pa.record_batch(columns, ["sign", "doc", "copy", "h", "lo", "at", "hi", "before", "after", "first"])
+                columns = [pa.array(sign), b.column(0).take(which), b.column(1).take(which), pa.array(np.full(len(at), h, np.int8)), *ints, pa.array(_near_again(s, at).astype(np.int8)), pa.array(first)]
+                yield pa.record_batch(columns, ["sign", "doc", "copy", "h", "lo", "at", "hi", "before", "after", "again", "first"])
 
     kind = dict(texts.dtypes)["doc"]
-    return texts.select("doc", "copy", "text").mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, lo int, at int, hi int, before int, after int, first tinyint")
+    return texts.select("doc", "copy", "text").mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, lo int, at int, hi int, before int, after int, again tinyint, first tinyint")
 
 
-def _among(rows: DataFrame, on: list[str], keys: DataFrame, n: int) -> DataFrame:
-    """Rows of ``rows`` whose ``on`` is among ``keys``, and a few others: a bitmap of hashed keys, of 32 MB
-    at most, spares the other rows a shuffle. The joins that follow are exact."""
-    bits = 1 << min(28, max(20, (16 * n).bit_length()))
-    bit = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
-    maps = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_"))
-    keyed = rows.withColumn("bit_", bit).withColumn("bucket_", F.bitmap_bucket_number("bit_")).withColumn("place_", F.bitmap_bit_position("bit_"))
-    byte = F.conv(F.hex(F.substring("map_", F.floor(F.col("place_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col("place_") % 8).cast("int") + 1)
-    return keyed.join(F.broadcast(maps), "bucket_").where(byte.bitwiseAND(mask) != 0).select(*rows.columns)
+def _among(rows: DataFrame, on: list[Column], keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of ``rows`` one of whose ``on`` (bigint) is among the distinct ``keys`` (key), and a few others.
+
+    A bitmap of hashed keys, of 32 MB at most, goes to all tasks and spares the rows a shuffle.
+    Beyond 2^24 keys it would be full, and joins on each key take its place.
+    """
+    keys = scratch.table(keys, name)
+    n = keys.count()
+    if n > 1 << 24:
+        for k, c in enumerate(on):
+            rows = rows.withColumn("key_", c).join(keys.select(F.col("key").alias("key_"), F.lit(True).alias(f"has_{k}")), "key_", "left").drop("key_")
+        return rows.where(" OR ".join(f"has_{k}" for k in range(len(on)))).drop(*(f"has_{k}" for k in range(len(on))))
+    bits = 1 << max(20, (16 * n).bit_length())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = keys.select(bit("key").alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    names, tests = rows.columns, []
+    for k, c in enumerate(on):
+        rows = rows.withColumn(f"bit_{k}", bit(c)).withColumn(f"bucket_{k}", F.bitmap_bucket_number(f"bit_{k}"))
+        rows = rows.join(F.broadcast(maps.select(F.col("bucket").alias(f"bucket_{k}"), F.col("map").alias(f"map_{k}"))), f"bucket_{k}", "left")
+        place = F.bitmap_bit_position(f"bit_{k}")
+        byte = F.conv(F.hex(F.substring(f"map_{k}", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        tests.append(F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    return rows.where(union_of(tests)).select(*names)
+
+
+def union_of(tests: list[Column]) -> Column:
+    return reduce(Column.__or__, tests)
 
 
 def members(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Windows (sign, n, doc, copy, h, lo, at, hi) whose sign another document has, with an equal side; n: windows of the sign.
+    """Windows (sign, doc, copy, h, lo, at, hi) of which another document has one of the same sign and an
+    equal side, and a few others.
 
-    Where a document holds the minimum more than once, sides don't count for its sign.
-    Signs are counted by aggregation and joined back, so one that a third of the rows hold is split.
+    Signs and sides are counted by aggregation, so one that a third of the rows hold is no burden.
     """
-    counts = found.groupBy("sign").agg(F.sum("first").alias("docs"), F.count(F.lit(1)).alias("n")).where("docs > 1").select("sign", "n")
-    counts = scratch.table(counts, "counts")
-    rows = _among(found.drop("first"), ["sign"], counts, counts.count()).join(counts, "sign")
-    rows = scratch.table(rows, "rows")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("v")), F.struct(F.lit(1).alias("side"), F.col("after").alias("v"))))
-    both = rows.select("sign", "doc", "copy", sides.alias("s")).select("sign", "doc", "copy", "s.side", "s.v").where("v NOT IN (0, 1)")
-    key = F.struct("doc", "copy")
-    shared = both.groupBy("sign", "side", "v").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
-    side = lambda k, c: shared.where(F.col("side") == k).select("sign", F.col("v").alias(c), F.lit(True).alias(f"has_{c}"))
-    rows = rows.join(side(0, "before"), ["sign", "before"], "left").join(side(1, "after"), ["sign", "after"], "left")
-    any_side = rows.where("before = 1").groupBy("sign").agg(F.lit(True).alias("any_side"))
-    rows = rows.join(any_side, "sign", "left")
-    return rows.where("any_side OR has_before OR has_after").select("sign", "n", "doc", "copy", "h", "lo", "at", "hi")
+    counts = found.groupBy("sign").agg(F.sum("first").alias("docs")).where("docs > 1").select(F.col("sign").alias("key"))
+    rows = scratch.table(_among(found.drop("first"), [F.col("sign")], counts, scratch, "signs"), "rows")
+    side = lambda k, c: F.when(F.col(c) != 0, F.xxhash64("sign", F.lit(k), F.col(c).cast("int")))
+    sides, key = [side(k, c) for k, c in enumerate(("before", "after", "again"))], F.struct("doc", "copy")
+    counts = rows.select("doc", "copy", F.explode(F.array(*sides)).alias("key")).where("key IS NOT NULL").groupBy("key").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    return _among(rows, sides, counts.where("a <> b").select("key"), scratch, "sides").select("sign", "doc", "copy", "h", "lo", "at", "hi")
 
 
 def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,14 +215,14 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
     bounded by the text's length.
     """
     kind = dict(texts.dtypes)["doc"]
-    own = rows.groupBy("doc", "copy").agg(F.collect_list(F.struct("sign", "n", "h", "lo", "at", "hi")).alias("w"))
+    own = rows.groupBy("doc", "copy").agg(F.collect_list(F.struct("sign", "h", "lo", "at", "hi")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pad = WordHashes(), np.zeros(REACH, np.uint32)
         steps = np.arange(_WIDTH)
         for b in batches:
             cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
-            field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "n", "h", "lo", "at", "hi")}
+            field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "h", "lo", "at", "hi")}
             for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 s = (tokens(text, known) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 s = np.concatenate([pad, s, pad])
@@ -223,12 +234,12 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
                     which = pa.array(np.full(len(at), row))
                     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                     yield pa.record_batch(
-                        [pa.array(field["sign"][part]), pa.array(field["n"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
-                        ["sign", "n", "doc", "copy", "h", "at", "around"],
+                        [pa.array(field["sign"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
+                        ["sign", "doc", "copy", "h", "at", "around"],
                     )
 
     both = own.join(texts, ["doc", "copy"]).select("doc", "copy", "text", "w")
-    return both.mapInArrow(run, f"sign bigint, n bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
+    return both.mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
 
 
 def runs_of(around: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -448,7 +459,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def merged(links: DataFrame) -> DataFrame:
     """(doc, copy, start, n_words, source, source_copy, source_start, similarity): links of one document to one
-    place of another that overlap, as one passage.
+    place of another that overlap in both, as one passage; ``similarity`` is that of its least similar part.
 
     A link by edited tokens stands if ENOUGH hash functions join the passage, with whichever
     documents, or if it goes on from an exact run, whose hash functions agree by themselves.
@@ -468,27 +479,48 @@ def merged(links: DataFrame) -> DataFrame:
                 kept[p] = supported(start[p], n[p], like[p], h[p])
             k = np.flatnonzero(kept)
             source = ids.take(pa.array(k)).dictionary_encode().indices.to_numpy().astype(np.int64) if len(k) else k
-            order = np.lexsort((start[k], start[k] - there[k], copy[k], source, row[k]))
+            order = np.lexsort((there[k], start[k], copy[k], source, row[k]))
             k, source = k[order], source[order]
-            stop = start[k] + n[k]
-            same = (np.diff(row[k]) == 0) & (np.diff(source) == 0) & (np.diff(copy[k]) == 0) & (np.diff(start[k] - there[k]) == 0)
-            heads, last, reach, least = [], [], -1, 1.0
-            for j, (a, z, joins, s) in enumerate(zip(start[k].tolist(), stop.tolist(), [False, *same.tolist()], like[k].tolist())):
-                if joins and a <= reach:
-                    reach, least = max(reach, z), min(least, s)
-                    last[-1] = (reach, least)
+            same = (np.diff(row[k]) == 0) & (np.diff(source) == 0) & (np.diff(copy[k]) == 0)
+            heads, last, open_ = [], [], []
+            columns = (v.tolist() for v in (start[k], start[k] + n[k], there[k], there[k] + n[k], like[k]))
+            for j, (joins, a, z, c, d, s) in enumerate(zip([False, *same.tolist()], *columns)):
+                # passages that go on where others of the same source end; usually there is one such
+                open_ = [i for i in open_ if last[i][0] >= a] if joins else []
+                at = next((i for i in open_ if c <= last[i][3] and d >= last[i][2]), None)
+                if at is None:
+                    open_.append(len(last)), heads.append(j), last.append([z, s, c, d])
                 else:
-                    reach, least = z, s
-                    heads.append(j), last.append((z, s))
-            at = k[np.array(heads, np.int64)]
+                    p = last[at]
+                    p[:] = max(p[0], z), min(p[1], s), min(p[2], c), max(p[3], d)
+            at, last = k[np.array(heads, np.int64)], np.array(last, float).reshape(-1, 4)
+            at, last = _outermost(row[at], start[at], source[np.array(heads, np.int64)], at, last)
             which, pick = pa.array(row[at]), pa.array(at)
-            words = np.array([z for z, _ in last], np.int64) - start[at] + SHINGLE - 1
-            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(start[at]), pa.array(words), ids.take(pick), pa.array(copy[at]), pa.array(there[at]), pa.array(np.array([s for _, s in last], np.float64))]
+            words = last[:, 0].astype(np.int64) - start[at] + SHINGLE - 1
+            columns = [b.column(0).take(which), b.column(1).take(which), pa.array(start[at]), pa.array(words), ids.take(pick), pa.array(copy[at]), pa.array(last[:, 2].astype(np.int64)), pa.array(last[:, 1])]
             yield pa.record_batch(columns, ["doc", "copy", "start", "n_words", "source", "source_copy", "source_start", "similarity"])
 
     return own.mapInArrow(run, f"doc {kind}, copy bigint, start bigint, n_words bigint, source {kind}, source_copy bigint, source_start bigint, similarity double")
 
 
+def _outermost(row: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` and ``last`` (end, similarity) without passages that lie within an exact one, or within one of the
+    same source. Both sources of an exact passage hold it, so what links them is kept elsewhere."""
+    order = np.lexsort((-last[:, 0], start, row))
+    kept, now, reach, own = [], -1, -1.0, {}
+    for j in order.tolist():
+        if row[j] != now:
+            now, reach, own = row[j], -1.0, {}
+        z, like = last[j, :2]
+        if z <= own.get(source[j], -1.0) or (like == 1 and z <= reach):
+            continue
+        own[source[j]] = max(z, own.get(source[j], -1.0))
+        if like == 1:
+            reach = max(reach, z)
+        kept.append(j)
+    return at[kept], last[kept]
+
+
 def supported(start: np.ndarray, n: np.ndarray, like: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which links of one document ENOUGH hash functions, or an exact run, agree on over half a least passage."""
     base = int(start.min())
@@ -513,16 +545,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for name in ("windows", "rows"):
         scratch.drop(name)
     free(spark)
-    # a table, so that the join reads plain shuffles, which adaptive execution can split
-    ids = rows.select("doc", "copy").distinct()
-    kept = _among(texts, ["doc", "copy"], ids, ids.count()).groupBy("doc", "copy").agg(F.first("text").alias("text"))
+    ids = rows.select(F.xxhash64("doc", "copy").alias("key")).distinct()
+    kept = _among(texts, [F.xxhash64("doc", "copy")], ids, scratch, "ids").groupBy("doc", "copy").agg(F.first("text").alias("text"))
     around = scratch.table(surroundings(rows, kept), "around")
     free(spark)
-    links = [compared(around.where(F.col("n") <= HOT).withColumn("key", F.col("sign")))]
-    if not around.where(F.col("n") > HOT).isEmpty():
-        links.append(hot_links(around.where(F.col("n") > HOT), scratch))
-    found = scratch.table(merged(union_all(links)), "found")
-    for name in ("counts", "members", "around", "once"):
+    many = scratch.table(rows.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "many")
+    if many.isEmpty():
+        links = compared(around.withColumn("key", F.col("sign")))
+    else:
+        sized = around.join(F.broadcast(many) if many.count() <= 100_000 else many, "sign", "left")
+        links = compared(sized.where("n IS NULL").withColumn("key", F.col("sign"))).unionByName(hot_links(sized.where("n IS NOT NULL"), scratch))
+    found = scratch.table(merged(links), "found")
+    for name in ("members", "around", "once"):
         scratch.drop(name)
     free(spark)
     return found
