@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, free, union_all, unused
-from .decontamination import SHINGLE, WordHashes, shingle_hashes
 from .tokens import encoder
+from .words import run_hashes, word_hashes
 
-MIN_WORDS, SIMILARITY = 50, 0.8
+SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many of them must join a passage that isn't an exact copy.
 HASHES, ENOUGH = 4, 2
 #: Tokens of a passage of MIN_WORDS, and those shown on either side of a window's minimum.
@@ -33,7 +33,7 @@ REACH = LEAST - 1
 #: passage does, and so does one of 0.8, whose longest equal stretch is about twice as long.
 SIDE = 10
 #: Rows of one min-hash that one task compares; larger groups are split.
-HOT = 4096
+HOT = 16_384
 #: Words by which one passage may be shifted against the other within REACH of a minimum.
 SHIFT = 3
 
@@ -42,10 +42,11 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _WIDTH = 2 * REACH + 1
 
 
-def tokens(text: bytes | None, known: dict) -> np.ndarray:
-    """Five-word shingle hashes of a text, lower-cased in A-Z; empty for texts of fewer words."""
-    words = (text or b"").lower().split()
-    return shingle_hashes(words, known) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all five-word shingles of ``texts`` laid end to end, words lower-cased in A-Z, and where those
+    of each text begin and end. Each text's last words begin none; their places lie between."""
+    hashes, cuts = word_hashes(texts)
+    return run_hashes(hashes, SHINGLE), cuts[:-1], np.maximum(cuts[1:] - SHINGLE + 1, cuts[:-1])
 
 
 def mixed(values: np.ndarray, i: int) -> np.ndarray:
@@ -130,24 +131,18 @@ def windows(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()  # a worker that packed before holds a large cache; its memory serves here
-        known, gap = WordHashes(), np.zeros(1, np.uint64)
         for b in batches:
-            rows, parts = [], [gap]
-            for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                s = tokens(text, known)
-                if len(s) >= LEAST:
-                    rows.append(row), parts.extend((s, gap))
-            if not rows:
+            s, begins, ends = tokens(b.column(2).cast(pa.binary()).to_pylist())
+            if not len(s):
                 continue
-            s = np.concatenate(parts)
-            sizes = np.array([len(p) for p in parts[1::2]], np.int64)
-            ends = np.cumsum(sizes + 1)  # places of the gaps after the documents
-            begins, breaks = ends - sizes, np.concatenate([[0], ends])
+            inside = np.zeros(len(s) + 1, np.int8)
+            np.add.at(inside, begins, 1), np.add.at(inside, ends, -1)
+            breaks = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
             sides = (_run_hashes(s, SIDE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             for h in range(HASHES):
                 v = mixed(s, h)
                 lo, at, hi = compact_windows(v, LEAST, breaks)
-                doc = np.searchsorted(ends, at)
+                doc = np.searchsorted(begins, at, "right") - 1
                 begin, end = begins[doc], ends[doc]
                 before = np.where(at - SIDE + 1 >= begin, sides[np.maximum(at - SIDE + 1, 0)], 0)
                 after = np.where(at + SIDE <= end, sides[np.minimum(at, len(sides) - 1)], 0)
@@ -156,7 +151,7 @@ def windows(texts: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (np.diff(sign[order]) != 0) | (np.diff(doc[order]) != 0)])[: len(at)]
                 first = np.zeros(len(at), np.int8)
                 first[order[new]] = 1
-                which = pa.array(np.array(rows)[doc])
+                which = pa.array(doc)
                 ints = [pa.array(x.astype(np.int32)) for x in (lo - begin, at - begin, hi - begin, before, after)]
                 columns = [pa.array(sign), b.column(0).take(which), b.column(1).take(which), pa.array(np.full(len(at), h, np.int8)), *ints, pa.array(_near_again(s, at).astype(np.int8)), pa.array(first)]
                 yield pa.record_batch(columns, ["sign", "doc", "copy", "h", "lo", "at", "hi", "before", "after", "again", "first"])
@@ -209,7 +204,7 @@ def members(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with ``around``: 32 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
+    """``rows`` with ``around``: 16 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
 
     One document's windows are brought together with its text, which is read once; their number is
     bounded by the text's length.
@@ -218,21 +213,20 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
     own = rows.groupBy("doc", "copy").agg(F.collect_list(F.struct("sign", "h", "lo", "at", "hi")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pad = WordHashes(), np.zeros(REACH, np.uint32)
-        steps = np.arange(_WIDTH)
+        pad, steps = np.zeros(REACH, np.uint16), np.arange(_WIDTH)
         for b in batches:
             cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
             field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "h", "lo", "at", "hi")}
-            for row, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                s = (tokens(text, known) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                s = np.concatenate([pad, s, pad])
+            s, begins, _ = tokens(b.column(2).cast(pa.binary()).to_pylist())
+            s = np.concatenate([pad, np.maximum((s >> np.uint64(40)).astype(np.uint16), 1), pad])
+            for row, begin in enumerate(begins.tolist()):
                 for a in range(int(cuts[row]), int(cuts[row + 1]), 10_000):
                     part = slice(a, min(a + 10_000, int(cuts[row + 1])))
                     lo, at, hi = (field[k][part].astype(np.int64) for k in ("lo", "at", "hi"))
                     place = at[:, None] + steps - REACH
-                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[at[:, None] + steps], 0).astype("<u4")
+                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[begin + at[:, None] + steps], 0).astype("<u2")
                     which = pa.array(np.full(len(at), row))
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                     yield pa.record_batch(
                         [pa.array(field["sign"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
                         ["sign", "doc", "copy", "h", "at", "around"],
@@ -281,7 +275,7 @@ def near_spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     A token counts as shared if it stands at the same distance from the minimum, give or take SHIFT.
     """
     n, shift = len(x), np.full(x.shape, SHIFT + 1, np.int8)
-    padded = np.zeros((n, _WIDTH + 2 * SHIFT), np.uint32)
+    padded = np.zeros((n, _WIDTH + 2 * SHIFT), x.dtype)
     padded[:, SHIFT : SHIFT + _WIDTH] = y
     for d in sorted(range(-SHIFT, SHIFT + 1), key=abs, reverse=True):
         shift[(padded[:, SHIFT + d : SHIFT + d + _WIDTH] == x) & (x != 0)] = d
@@ -398,7 +392,7 @@ def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches):
             sign, at, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 5, 4))
-            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u2").reshape(-1, _WIDTH)
             ids, copies = b.column(2), b.column(3)
             changes = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(copies[1:], copies[:-1])).to_numpy(zero_copy_only=False)
             doc = np.cumsum(np.concatenate([[True], changes | (np.diff(sign) != 0)]))  # a document's rows of a key stand together
@@ -436,7 +430,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u2").reshape(-1, _WIDTH)
             keys, whole = runs_of(around, b.column(0).to_numpy().view(np.uint64))
             row, step = np.nonzero(whole)
             which = pa.array(row)
