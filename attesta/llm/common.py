@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from functools import reduce
 
@@ -73,9 +74,12 @@ class Scratch:
 
 
 def free(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished steps; else they stay until the driver happens to collect its garbage.
+    What refers to a shuffle often goes in a first collection and the shuffle in a second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:

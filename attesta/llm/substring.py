@@ -34,6 +34,10 @@ REACH = LEAST - 1
 SIDE = 10
 #: Rows of one min-hash that one task compares; larger groups are split.
 HOT = 16_384
+#: Two passages of SIMILARITY have so many equal tokens in a row; a run of STRETCH among them is picked of each PICK.
+ANCHORED, STRETCH, PICK = 20, 16, 5
+#: Groups up to this size are compared without picking anchors.
+FEW = 64
 #: Words by which one passage may be shifted against the other within REACH of a minimum.
 SHIFT = 3
 
@@ -204,7 +208,7 @@ def members(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with ``around``: 16 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
+    """``rows`` with ``around``: 32 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
 
     One document's windows are brought together with its text, which is read once; their number is
     bounded by the text's length.
@@ -213,20 +217,20 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
     own = rows.groupBy("doc", "copy").agg(F.collect_list(F.struct("sign", "h", "lo", "at", "hi")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad, steps = np.zeros(REACH, np.uint16), np.arange(_WIDTH)
+        pad, steps = np.zeros(REACH, np.uint32), np.arange(_WIDTH)
         for b in batches:
             cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
             field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "h", "lo", "at", "hi")}
             s, begins, _ = tokens(b.column(2).cast(pa.binary()).to_pylist())
-            s = np.concatenate([pad, np.maximum((s >> np.uint64(40)).astype(np.uint16), 1), pad])
+            s = np.concatenate([pad, np.maximum((s >> np.uint64(32)).astype(np.uint32), 1), pad])
             for row, begin in enumerate(begins.tolist()):
                 for a in range(int(cuts[row]), int(cuts[row + 1]), 10_000):
                     part = slice(a, min(a + 10_000, int(cuts[row + 1])))
                     lo, at, hi = (field[k][part].astype(np.int64) for k in ("lo", "at", "hi"))
                     place = at[:, None] + steps - REACH
-                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[begin + at[:, None] + steps], 0).astype("<u2")
+                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[begin + at[:, None] + steps], 0).astype("<u4")
                     which = pa.array(np.full(len(at), row))
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                     yield pa.record_batch(
                         [pa.array(field["sign"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
                         ["sign", "doc", "copy", "h", "at", "around"],
@@ -236,16 +240,54 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
 
 
-def runs_of(around: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, whether it is whole) of each run of LEAST tokens that holds the minimum, by rows."""
+def runs_of(around: np.ndarray, salt: np.ndarray, width: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it is whole) of each run of ``width`` tokens, by rows."""
     base = np.uint64(0x9E3779B97F4A7C15)
-    top = np.uint64(pow(int(base), LEAST, 1 << 64))
+    top = np.uint64(pow(int(base), width, 1 << 64))
     sums = np.zeros((len(around), _WIDTH + 1), np.uint64)
     for k in range(_WIDTH):
         sums[:, k + 1] = sums[:, k] * base + around[:, k]
     whole = np.zeros((len(around), _WIDTH + 1), np.int32)
     np.cumsum(around != 0, axis=1, out=whole[:, 1:])
-    return mixed((sums[:, LEAST:] - sums[:, :-LEAST] * top) ^ salt[:, None], 3), whole[:, LEAST:] - whole[:, :-LEAST] == LEAST
+    return mixed((sums[:, width:] - sums[:, :-width] * top) ^ salt[:, None], 3), whole[:, width:] - whole[:, :-width] == width
+
+
+def anchors(around: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): of any PICK neighbouring runs of STRETCH tokens the one of the least hash, or more.
+
+    Passages of SIMILARITY have ANCHORED equal tokens in a row, hence an anchor in common; texts that share no more
+    than a common phrase have none, and needn't be compared.
+    """
+    keys, whole = runs_of(around, salt, STRETCH)
+    keys = np.where(whole, keys, np.uint64((1 << 64) - 1))
+    low = keys[:, : -PICK + 1]
+    for k in range(1, PICK):
+        low = np.minimum(low, keys[:, k : keys.shape[1] - PICK + 1 + k])
+    high = np.zeros_like(keys)
+    for k in range(PICK):
+        np.maximum(high[:, k : k + low.shape[1]], low, out=high[:, k : k + low.shape[1]])
+    row, at = np.nonzero((high == keys) & whole)
+    return row, keys[row, at]
+
+
+def parts_of(around: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """A number for each row; rows of one sign that are connected by common anchors have the same."""
+    row, key = anchors(around, sign.view(np.uint64))
+    label = np.arange(len(sign))
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    if not len(row):
+        return label
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+    sizes = np.diff(np.concatenate([heads, [len(row)]]))
+    while True:
+        least = np.repeat(np.minimum.reduceat(label[row], heads), sizes)
+        new = label.copy()
+        np.minimum.at(new, row, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def exact_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -311,10 +353,25 @@ def near_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray) -> tuple[l
 
     Rows are sorted by sign and document. In each round the first row left of every group is compared
     with all others left in it, so each row meets all earlier ones that stand for the group. A row
-    gets links that cover more of it or connect it with rows it isn't yet connected with.
+    gets links that cover more of it or connect it with rows it isn't yet connected with. Groups of
+    more than FEW rows are first divided by their anchors.
     """
     n = len(sign)
     group = np.cumsum(np.concatenate([[0], np.diff(sign) != 0])) if n else np.zeros(0, np.int64)
+    large = np.flatnonzero(np.bincount(group)[group] > FEW) if n else group
+    if len(large):
+        part = np.zeros(n, np.int64)
+        part[large] = parts_of(around[large], sign[large]) + 1
+        order = np.lexsort((np.arange(n), part, group))
+        group = np.cumsum(np.concatenate([[0], (np.diff(group[order]) != 0) | (np.diff(part[order]) != 0)]))
+    else:
+        order = np.arange(n)
+    links, stands = _rounds(around[order], group, doc[order])
+    return [(int(order[i]), a, b, int(order[p]), c, like) for i, a, b, p, c, like in links], order[stands]
+
+
+def _rounds(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
+    n = len(group)
     label, low, high = np.arange(n), np.full(n, _WIDTH), np.full(n, -1)
     left, stands, links = np.arange(n), np.zeros(n, bool), []
     while len(left):
@@ -382,17 +439,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], size: int = 16_384) -> Iter
 
 def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> DataFrame:
     """Links among the rows (key, sign, doc, copy, h, at, around) of each key; with ``survivors``, rows that
-    stand for their key come along, with no source but ``sign`` and ``around``.
+    stand for their key come along, with no source but their sign as ``key``, and ``around``.
 
     Each key has a bounded number of rows, which one task sorts and compares.
     """
     kind = dict(rows.dtypes)["doc"]
-    schema = _LINK.format(kind) + (", sign bigint, around binary" if survivors else "")
+    schema = _LINK.format(kind) + (", key bigint, around binary" if survivors else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches):
             sign, at, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 5, 4))
-            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u2").reshape(-1, _WIDTH)
+            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, _WIDTH)
             ids, copies = b.column(2), b.column(3)
             changes = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(copies[1:], copies[:-1])).to_numpy(zero_copy_only=False)
             doc = np.cumsum(np.concatenate([[True], changes | (np.diff(sign) != 0)]))  # a document's rows of a key stand together
@@ -406,14 +463,14 @@ def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> Da
                 out.append(_link_batch(ids, copies, r, at[r] - REACH + a, z - a + 1, s, at[s] - REACH + c, like, h[r]))
             for o in out:
                 if survivors:
-                    o = pa.record_batch([*o.columns, pa.nulls(o.num_rows, pa.int64()), pa.nulls(o.num_rows, pa.binary())], [*o.schema.names, "sign", "around"])
+                    o = pa.record_batch([*o.columns, pa.nulls(o.num_rows, pa.int64()), pa.nulls(o.num_rows, pa.binary())], [*o.schema.names, "key", "around"])
                 yield o
             if survivors:
-                k = np.flatnonzero(stands)
+                k = stands
                 w = pa.array(k)
                 columns = [ids.take(w), copies.take(w), pa.array(at[k]), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), ids.type), *(pa.nulls(len(k), pa.int64()),) * 2, pa.nulls(len(k), pa.float64())]
                 columns += [pa.array(h[k].astype(np.int8)), b.column(1).take(w), b.column(6).take(w)]
-                yield pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h", "sign", "around"])
+                yield pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h", "key", "around"])
 
     rows = rows.select("key", "sign", "doc", "copy", "h", "at", "around")
     return rows.repartition("key").sortWithinPartitions("key", "sign", "doc", "copy", "at").mapInArrow(run, schema)
@@ -423,14 +480,15 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Links among rows whose sign has more than HOT of them, in keys of bounded size.
 
     Exact runs are matched by aggregation and a join, which need no group together. For edited
-    passages a sign's rows are split by document; those that stand for their part are compared
+    passages rows are compared by each anchor they share with another document. Those of an anchor
+    with more than HOT rows are split by document; the ones that stand for their part are compared
     with those of every other part, two parts to a task.
     """
     kind = dict(rows.dtypes)["doc"]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u2").reshape(-1, _WIDTH)
+            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, _WIDTH)
             keys, whole = runs_of(around, b.column(0).to_numpy().view(np.uint64))
             row, step = np.nonzero(whole)
             which = pa.array(row)
@@ -441,14 +499,25 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     firsts = runs.groupBy("sign", "run").agg(F.min(F.struct("doc", "copy", "start")).alias("first"), F.max(F.struct("doc", "copy")).alias("last")).where("first.doc <> last.doc OR first.copy <> last.copy")
     held = runs.join(firsts.select("sign", "run", "first"), ["sign", "run"]).where("doc <> first.doc OR copy <> first.copy")
     exact = held.select("doc", "copy", "start", F.lit(LEAST).cast("bigint").alias("n"), F.col("first.doc").alias("source"), F.col("first.copy").alias("source_copy"), F.col("first.start").alias("source_start"), F.lit(1.0).alias("similarity"), F.lit(0).cast("tinyint").alias("h"))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            around = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            row, keys = anchors(around, b.column(0).to_numpy().view(np.uint64))
+            yield pa.record_batch([pa.array(keys.view(np.int64)), *(c.take(pa.array(row)) for c in b.columns)], ["key", *b.schema.names])
+
+    keyed = rows.select("sign", "doc", "copy", "h", "at", "around").mapInArrow(pick, f"key bigint, sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("doc", "copy")).alias("a"), F.max(F.struct("doc", "copy")).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", "n")
+    shared = scratch.table(shared, "anchors")
+    keyed = scratch.table(_among(keyed, [F.col("key")], shared.select("key"), scratch, "anchor_keys").join(shared, "key"), "keyed")
     part = lambda n: F.pmod(F.xxhash64("doc", "copy"), F.ceil(F.col(n) / HOT))
-    once = scratch.table(compared(rows.withColumn("key", F.xxhash64("sign", part("n"))), False, True), "once")
-    standing = once.where("source IS NULL").select("sign", "doc", "copy", "h", F.col("start").cast("int").alias("at"), "around")
+    few = compared(keyed.where(F.col("n") <= HOT), False)
+    once = scratch.table(compared(keyed.where(F.col("n") > HOT).withColumn("sign", F.col("key")).withColumn("key", F.xxhash64("key", part("n"))), False, True), "once")
+    standing = once.where("source IS NULL").select("key", "doc", "copy", "h", F.col("start").cast("int").alias("at"), "around").withColumnRenamed("key", "sign")
     parts = standing.join(standing.groupBy("sign").agg(F.count(F.lit(1)).alias("m")), "sign")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("m") / HOT) - 1))
     parts = parts.withColumn("own", part("m")).withColumn("other", other)
     again = compared(parts.withColumn("key", F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))), False)
-    return union_all([exact, once.where("source IS NOT NULL").drop("sign", "around"), again])
+    return union_all([exact, few, once.where("source IS NOT NULL").drop("key", "around"), again])
 
 
 def merged(links: DataFrame) -> DataFrame:
@@ -550,7 +619,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sized = around.join(F.broadcast(many) if many.count() <= 100_000 else many, "sign", "left")
         links = compared(sized.where("n IS NULL").withColumn("key", F.col("sign"))).unionByName(hot_links(sized.where("n IS NOT NULL"), scratch))
     found = scratch.table(merged(links), "found")
-    for name in ("members", "around", "once"):
+    for name in ("members", "around", "once", "keyed"):
         scratch.drop(name)
     free(spark)
     return found
