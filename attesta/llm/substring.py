@@ -207,8 +207,21 @@ def members(found: DataFrame, scratch: Scratch) -> DataFrame:
     return _among(rows, sides, counts.where("a <> b").select("key"), scratch, "sides").select("sign", "doc", "copy", "h", "lo", "at", "hi")
 
 
+def _packed(around: np.ndarray) -> pa.Array:
+    """Rows of 24-bit tokens as binary values."""
+    raw = around.astype("<u4").view(np.uint8).reshape(len(around), _WIDTH, 4)[:, :, :3].tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(3 * _WIDTH), len(around), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _unpacked(values: pa.Array) -> np.ndarray:
+    raw = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, _WIDTH, 3)
+    out = np.zeros((len(raw), _WIDTH, 4), np.uint8)
+    out[:, :, :3] = raw
+    return out.view("<u4").reshape(-1, _WIDTH)
+
+
 def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with ``around``: 32 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
+    """``rows`` with ``around``: 24 bits of each of the _WIDTH tokens around ``at``, 0 beyond the window.
 
     One document's windows are brought together with its text, which is read once; their number is
     bounded by the text's length.
@@ -222,17 +235,16 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
             cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
             field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "h", "lo", "at", "hi")}
             s, begins, _ = tokens(b.column(2).cast(pa.binary()).to_pylist())
-            s = np.concatenate([pad, np.maximum((s >> np.uint64(32)).astype(np.uint32), 1), pad])
+            s = np.concatenate([pad, np.maximum((s >> np.uint64(40)).astype(np.uint32), 1), pad])
             for row, begin in enumerate(begins.tolist()):
                 for a in range(int(cuts[row]), int(cuts[row + 1]), 10_000):
                     part = slice(a, min(a + 10_000, int(cuts[row + 1])))
                     lo, at, hi = (field[k][part].astype(np.int64) for k in ("lo", "at", "hi"))
                     place = at[:, None] + steps - REACH
-                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[begin + at[:, None] + steps], 0).astype("<u4")
+                    around = np.where((place >= lo[:, None]) & (place <= hi[:, None]), s[begin + at[:, None] + steps], 0)
                     which = pa.array(np.full(len(at), row))
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * _WIDTH), len(at), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
                     yield pa.record_batch(
-                        [pa.array(field["sign"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), raw],
+                        [pa.array(field["sign"][part]), b.column(0).take(which), b.column(1).take(which), pa.array(field["h"][part]), pa.array(at.astype(np.int32)), _packed(around)],
                         ["sign", "doc", "copy", "h", "at", "around"],
                     )
 
@@ -449,7 +461,7 @@ def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches):
             sign, at, h = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 5, 4))
-            around = np.frombuffer(b"".join(b.column(6).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            around = _unpacked(b.column(6))
             ids, copies = b.column(2), b.column(3)
             changes = pc.or_(pc.not_equal(ids[1:], ids[:-1]), pc.not_equal(copies[1:], copies[:-1])).to_numpy(zero_copy_only=False)
             doc = np.cumsum(np.concatenate([[True], changes | (np.diff(sign) != 0)]))  # a document's rows of a key stand together
@@ -488,7 +500,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            around = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            around = _unpacked(b.column(4))
             keys, whole = runs_of(around, b.column(0).to_numpy().view(np.uint64))
             row, step = np.nonzero(whole)
             which = pa.array(row)
@@ -501,7 +513,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
     exact = held.select("doc", "copy", "start", F.lit(LEAST).cast("bigint").alias("n"), F.col("first.doc").alias("source"), F.col("first.copy").alias("source_copy"), F.col("first.start").alias("source_start"), F.lit(1.0).alias("similarity"), F.lit(0).cast("tinyint").alias("h"))
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            around = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(-1, _WIDTH)
+            around = _unpacked(b.column(5))
             row, keys = anchors(around, b.column(0).to_numpy().view(np.uint64))
             yield pa.record_batch([pa.array(keys.view(np.int64)), *(c.take(pa.array(row)) for c in b.columns)], ["key", *b.schema.names])
 
