@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, connected_components, unused
 
@@ -82,14 +81,14 @@ def links(fps: DataFrame, blocks: int, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) among distinct fingerprints ``fp`` that connect all that lie within ``distance``.
 
     Two such fingerprints agree in ``blocks - distance`` blocks at least, hence share a key. Each
-    bucket has a pivot, its smallest member; members near the pivot get one edge to it, and pairs
-    of two such members need none, being connected. Only the others are joined with their bucket.
-    So a bucket of thousands of near copies costs linear work, yet no connection is lost.
+    bucket has a pivot, its smallest member, found by aggregation and joined back, so adaptive
+    execution can split a bucket; members near the pivot get one edge to it, and pairs of two such
+    members need none, being connected. Only the others are joined with their bucket. So a bucket
+    of thousands of near copies costs linear work, yet no connection is lost.
     """
     rows = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("k")).select("fp", "k.t", "k.b")
-    bucket = Window.partitionBy("t", "b")
-    rows = rows.select("t", "b", "fp", F.min("fp").over(bucket).alias("pivot"), F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
-    rows = rows.withColumn("near", hamming(F.col("fp"), F.col("pivot")) <= distance)
+    pivots = rows.groupBy("t", "b").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).where("pivot <> last").drop("last")
+    rows = rows.join(pivots, ["t", "b"]).withColumn("near", hamming(F.col("fp"), F.col("pivot")) <= distance)
     star = rows.where("near AND fp <> pivot").select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     far = rows.where("NOT near").select("t", "b", F.col("fp").alias("u"))
     rest = far.join(rows.select("t", "b", F.col("fp").alias("v"), "near"), ["t", "b"]).where(
@@ -98,36 +97,45 @@ def links(fps: DataFrame, blocks: int, distance: int = DISTANCE) -> DataFrame:
     return star.unionByName(rest.select("u", "v")).distinct()
 
 
+def _linked(prints: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
+    """(fp, root, least): of each distinct fingerprint of ``prints`` (id, fp), the smallest it is connected with, and its smallest id."""
+    classes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    edges = links(classes.select("fp"), blocks_for(classes.count(), distance), distance)
+    linked = connected_components(edges, scratch).withColumnRenamed("node", "fp")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document: id, fp, component (smallest id reachable over links).
 
     Equal fingerprints collapse to one node before linking. Null texts count as empty; all
     wordless texts share fingerprint zero. Null ids keep their row and never name a component
-    unless no other id is there. No documents give no rows.
+    unless no other id is there. Rows that share an id each get their own text's fingerprint and
+    component; other columns don't matter. No documents give no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs, id_col, text_col), "prints")
-    classes = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    edges = links(classes.select("fp"), blocks_for(classes.count(), distance), distance)
-    linked = connected_components(edges, scratch)
-    linked = linked.join(classes, linked.node == classes.fp).select("fp", "root", "least")
+    linked = _linked(prints, scratch, distance)
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(roots, "root").select(F.col("fp").alias("node"), "component")
-    named = classes.join(linked, classes.fp == linked.node, "left").select(
-        "fp", F.coalesce("component", "least").alias("component")
-    )
-    return prints.join(named, "fp").select("id", "fp", "component")
+    return prints.join(linked.join(roots, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row for each component: that of the smallest id. Rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, distance)
-    first = found.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi")
-    nth = unused("nth", docs)
-    kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where(F.col(nth) == 1).drop(nth)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row for each component: of its rows that of the smallest id, and of several
+    texts under that id the one whose hash is smallest. Other rows that share an id belong to their
+    own text's component. Rows without an id stay."""
+    scratch = Scratch(docs.sparkSession)
+    copy, times = unused("copy", docs), unused("times", docs)
+    texts = docs.where(F.col(id_col).isNotNull()).withColumn(copy, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    prints = texts.select(F.struct(F.col(id_col).alias("id"), F.col(copy).alias("copy")).alias("id"), text_col)
+    prints = scratch.table(fingerprints(prints, "id", text_col), "prints")
+    first = _linked(prints, scratch, distance).groupBy("root").agg(F.min("least").alias("id"))
+    first = first.join(prints.groupBy("id").agg(F.count(F.lit(1)).alias(times)), "id")
+    first = scratch.table(first.select(F.col("id.id").alias(id_col), F.col("id.copy").alias(copy), times), "first")
+    kept = texts.join(first.where(F.col(times) == 1).drop(times), [id_col, copy], "left_semi")
+    if not (several := first.where(F.col(times) > 1).drop(times)).isEmpty():
+        kept = kept.unionByName(texts.join(several, [id_col, copy], "left_semi").dropDuplicates([id_col, copy]))
+    return kept.drop(copy).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def hex_fingerprint(fp: Column) -> Column:
