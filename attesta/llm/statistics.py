@@ -111,9 +111,10 @@ def with_statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataF
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) -> DataFrame:
     """Documents (doc_id, text, label) of at most ``limit`` labelled rows, chosen by hash of doc_id.
 
-    ``train`` is a predicate on doc_id. Null ids and null labels are left out. The chosen labels
-    are at most ``limit`` rows, which bounds the broadcast.
+    ``train`` is a predicate on doc_id. Null ids and null labels are left out. Of several labels of
+    one id the greatest counts; texts that share an id are one row each. The chosen labels are at
+    most ``limit`` rows, which bounds the broadcast, and ids tied in their hash are taken in order.
     """
     chosen = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(train & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit).dropDuplicates(["doc_id"])
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")

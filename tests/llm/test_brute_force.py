@@ -419,16 +419,64 @@ def test_op9_held_out(labelled):
 
 
 def test_label_model_discounts_correlated_voters():
-    from attesta.llm.toxicity import LabelModel
+    from attesta.llm.toxicity import LabelModel, Sums
+    from attesta.llm.trees import sigmoid
 
     r = np.random.default_rng(6)
     y = (r.random(4000) < 0.3).astype(float)
     vote = lambda hit, false: (r.random(4000) < np.where(y > 0, hit, false)).astype(float)
     a, b = vote(0.7, 0.02), vote(0.5, 0.01)
     votes = np.column_stack([a, a, a, b])
-    model, posterior = LabelModel.fit(votes, y)
+    seen, rest = slice(0, 1000), slice(1000, 4000)
+    labelled, once = Sums.of(votes[seen], y[seen], np.ones(1000)), np.ones(3000)
+    model = LabelModel.fit(labelled, (votes[seen].T @ votes[seen], votes[rest].T @ votes[rest]), lambda m: Sums.of(votes[rest], sigmoid(m.margin(votes[rest])), once))
+    posterior = sigmoid(model.margin(votes))
     assert model.shares[0] < 0.5 and model.shares[3] > 0.9
-    assert abs(model.rates[1, 3] - 0.5) < 0.06 and ((posterior > 0.5) == (y > 0)).mean() > 0.97
+    assert abs(model.rates[1, 3] - 0.5) < 0.06 and ((posterior > 0.5) == ((a > 0) | (b > 0))).mean() > 0.99
+
+
+def test_label_model_by_brute_force(spark):
+    """Tables of votes give the model that a plain loop over all rows gives."""
+    from attesta.llm import toxicity
+    from attesta.llm.trees import sigmoid
+
+    r = np.random.default_rng(7)
+    y = r.random(400) < 0.3
+    fired = [[j for j in range(5) if r.random() < (0.4 if y[i] else 0.03)] for i in range(400)]
+    x = toxicity.matrix([np.array(f, "<u2").tobytes() for f in fired], 5)
+    table = spark.createDataFrame([(bytearray(np.array(f, "<u2").tobytes()), 1) for f in fired], "votes binary, times bigint").repartition(3)
+    labelled = toxicity.Sums.of(x[:50], y[:50].astype(float), np.ones(50))
+    together = toxicity.fired_together(table, 5)
+    got = toxicity.LabelModel.fit(labelled, (x[:50].T @ x[:50], together), toxicity.expected_sums(table, 5), rounds=3)
+    want, p = toxicity.LabelModel.made(labelled, x[:50].T @ x[:50]), None
+    for _ in range(3):
+        p = sigmoid(want.margin(x))
+        rows_, votes_, squares, silent, pairs = np.zeros(2), np.zeros((2, 5)), np.zeros(3), np.zeros(2), np.zeros((5, 5))
+        for q, v in [*zip(y[:50].astype(float), x[:50]), *zip(p, x)]:
+            rows_ += [1 - q, q]
+            votes_ += np.outer([1 - q, q], v)
+            squares += [(1 - q) ** 2, q * (1 - q), q * q]
+            silent += [(1 - q) * (not v.any()), q * (not v.any())]
+            pairs += np.outer(v, v)
+        want = toxicity.LabelModel.made(toxicity.Sums(rows_, votes_, squares, silent), pairs)
+    residual = np.array([v - (1 - q) * want.rates[0] - q * want.rates[1] for q, v in [*zip(y[:50].astype(float), x[:50]), *zip(p, x)]])
+    cov = residual.T @ residual / 450
+    corr = np.clip(cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov))), 0, 1)
+    assert np.allclose(got.rates, want.rates) and np.allclose(got.correlations, np.where(corr > 0.3, corr, 0)) and math.isclose(got.prior, want.prior) and math.isclose(got.silent, want.silent)
+
+
+def test_op9_learns_words_beyond_the_lexicon(labelled):
+    """Toxic texts whose toxic words no lexicon has, among them some only in unlabelled rows' company."""
+    from pyspark.sql import functions as F
+
+    from attesta.llm.toxicity import score_toxicity
+
+    docs, labels = labelled
+    docs = docs.withColumn("text", F.regexp_replace("text", "idiot", "grumblefex"))
+    got = {r[0]: r[1] for r in rows(score_toxicity(docs, labels), "doc_id", "predicted")}
+    truth = {r[0]: r[1] for r in rows(labels, "doc_id", "toxic")}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i] == truth[i] for i in held) >= 0.97 * len(held)
 
 
 def test_op10():
