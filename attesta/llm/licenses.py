@@ -48,13 +48,85 @@ SENTENCES: dict[str, str] = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "all rights reserved": "reserved",
     "this work is dedicated to the public domain": "public-domain",
+    "mit license": "mit-title",
+    "the mit license": "mit-title",
+    "the mit license mit": "mit-title",
+    "apache license version 2 0 january 2004": "apache-2.0-title",
+    "gnu general public license version 3 29 june 2007": "gpl-3.0-title",
+    "gnu general public license version 2 june 1991": "gpl-2.0-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3.0-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl-2.1-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3.0-title",
+    "mozilla public license version 2 0": "mpl-2.0-title",
+    "this library is free software": "lgpl-free",
+    "either version 2 1 of the license or at your option any later version": "lgpl-2.1-later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-2.0-terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2.0-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2.0-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "this is free and unencumbered software released into the public domain": "unlicense-domain",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-anyone",
+    "cc0 1 0 universal": "cc0-title",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedication",
+    "you should have received a copy of the cc0 public domain dedication along with this software": "cc0-copy",
+    "spdx license identifier": "spdx",
 }
+for _kind, _marks in (("GNU Lesser", "lgpl"), ("GNU Affero", "agpl")):
+    _terms = f"you can redistribute it and or modify it under the terms of the {_kind.lower()} general public license as published by the free software foundation"
+    SENTENCES[_terms] = f"{_marks}-terms"
+    for _version, _mark in (("3", "3.0"), ("2 1", "2.1")):
+        SENTENCES[f"{_terms} either version {_version} of the license or at your option any later version"] = f"{_marks}-{_mark}-terms"
+
+#: Creative Commons licences and versions, as names and as marks.
+_COMMONS = (("attribution", "by"), ("attribution sharealike", "by-sa"), ("attribution noncommercial", "by-nc"), ("attribution noncommercial sharealike", "by-nc-sa"), ("attribution noderivatives", "by-nd"), ("attribution noncommercial noderivatives", "by-nc-nd"))
+_VERSIONS = (("4 0 international", "4.0"), ("3 0 unported", "3.0"))
+for _name, _mark in _COMMONS:
+    for _version, _number in _VERSIONS:
+        for _article in ("a", "the"):
+            SENTENCES[f"this work is licensed under {_article} creative commons {_name} {_version} license"] = f"cc-{_mark}-{_number}-short"
+        SENTENCES[f"licensed under cc {_mark.replace('-', ' ')} {_number.replace('.', ' ')}"] = f"cc-{_mark}-{_number}-short"
+
+#: Licences that may follow an SPDX tag.
+_TAGGED = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", *(f"CC-{m.upper()}-{n}" for _, m in _COMMONS for _, n in _VERSIONS))
+for _licence in _TAGGED:
+    for _suffix in ("", "-only", "-or-later", "+"):
+        SENTENCES.setdefault(re.sub(r"[^a-z0-9]+", " ", (_licence + _suffix).lower()).strip(), f"spdx-{_licence}")
 
 #: Ordered rules: licence, then the sentence identifiers that must follow one another. The first
 #: rule that matches at a place wins, so longer and more specific rules come first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("BSD-3-Clause", ("reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("reserved", "bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    *((licence, ("spdx", f"spdx-{licence}")) for licence in _TAGGED),
+    ("Apache-2.0", ("apache-2.0-title",)),
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty")),
+    ("MIT", ("mit-title", "mit-grant")),
+    ("MIT", ("mit-title",)),
+    ("LGPL-3.0", ("lgpl-3.0-title",)),
+    ("LGPL-2.1", ("lgpl-2.1-title",)),
+    ("AGPL-3.0", ("agpl-3.0-title",)),
+    ("GPL-3.0", ("gpl-3.0-title",)),
+    ("GPL-2.0", ("gpl-2.0-title",)),
+    *(("LGPL-" + v, (free, f"lgpl-{v}-terms")) for free in ("lgpl-free", "gpl-free") for v in ("3.0", "2.1")),
+    *(("LGPL-3.0", (free, "lgpl-terms", "gpl-3.0-later")) for free in ("lgpl-free", "gpl-free")),
+    *(("LGPL-2.1", (free, "lgpl-terms", "lgpl-2.1-later")) for free in ("lgpl-free", "gpl-free")),
+    *(("LGPL", (free, "lgpl-terms")) for free in ("lgpl-free", "gpl-free")),
+    ("AGPL-3.0", ("gpl-free", "agpl-3.0-terms")),
+    ("AGPL-3.0", ("gpl-free", "agpl-terms", "gpl-3.0-later")),
+    ("MPL-2.0", ("mpl-2.0-terms", "mpl-2.0-copy")),
+    ("MPL-2.0", ("mpl-2.0-terms",)),
+    ("MPL-2.0", ("mpl-2.0-title",)),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-domain", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-domain",)),
+    ("CC0-1.0", ("cc0-dedication", "cc0-copy")),
+    ("CC0-1.0", ("cc0-dedication",)),
+    ("CC0-1.0", ("cc0-title",)),
     ("Apache-2.0", ("apache-2.0-head", "apache-comply", "apache-copy-at")),
     ("Apache-2.0", ("apache-2.0-short", "apache-comply")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
@@ -71,9 +143,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant",)),
     ("GPL-3.0", ("gpl-3.0-short",)),
     ("GPL-2.0", ("gpl-2.0-short",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4.0-short",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4.0-short",)),
-    ("CC-BY-4.0", ("cc-by-4.0-short",)),
+    *((f"CC-{m.upper()}-{n}", (f"cc-{m}-{n}-short",)) for _, m in _COMMONS for _, n in _VERSIONS),
     ("Public-Domain", ("public-domain",)),
     ("Proprietary", ("reserved",)),
 )
@@ -82,9 +152,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: sentence goes on in the next line.
 _ENDS = re.compile(r"\n|(?<=[.;:!?])[ \t]+")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
-#: Every known sentence has one of these; texts and sentences without one are passed over.
-_CUE = re.compile(rb"(?i)licen[sc]e|permission|warrant|redistribut|copyright|software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|this[^a-z0-9]+file|names?[^a-z0-9]+of|either[^a-z0-9]+version")
-
 
 def normalise(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
@@ -96,6 +163,13 @@ def _beginnings(sentences: tuple[str, ...]) -> frozenset[str]:
     return frozenset(" ".join(words[:k]) for words in map(str.split, sentences) for k in range(1, len(words)))
 
 
+def cues(sentences: dict[str, str], rules: tuple) -> re.Pattern:
+    """The longest word of each sentence that a rule begins with: no rule matches in a text without any."""
+    begins = {wanted[0] for _, wanted in rules if wanted}
+    words = {max(s.split(), key=len) for s, name in sentences.items() if name in begins and s}
+    return re.compile(b"(?i)" + b"|".join(re.escape(w.encode()) for w in sorted(words))) if words else re.compile(b"(?!)")
+
+
 def identifiers(text: str, sentences: dict[str, str]) -> list[tuple[str, int]]:
     """(identifier, character offset) of each known sentence of a text, in order.
 
@@ -138,15 +212,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     """(id, licence, sentence_ids, start, n_sentences): one row per rule matched in a document.
 
     ``start`` is the code-point offset of the first matched sentence. One pass without a shuffle.
-    Documents without a licence, null and empty texts give no row; repeated rows each give theirs.
+    Documents without a licence, null and empty texts give no row; repeated rows, also of one id, each
+    give theirs. Of rules that match at one place the first counts; other columns don't matter.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, cue = dict(docs.dtypes)[id_col], cues(sentences, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, out = [], []
             for i, raw in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                if not raw or not _CUE.search(raw):
+                if not raw or not cue.search(raw):
                     continue
                 ids = identifiers(raw.decode("utf-8", "replace"), sentences)
                 for licence, first, n in match_rules([x for x, _ in ids], rules):

@@ -531,6 +531,37 @@ You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0""",
 }
+STOCK |= {
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain worldwide.
+
+You should have received a copy of the CC0 Public Domain Dedication along with this software.""",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+}
 STOCK["BSD-3-Clause"] = STOCK["BSD-2-Clause"] + """
 
 3. Neither the name of the copyright holder nor the names of its
@@ -548,6 +579,34 @@ def test_op10_stock_texts(licence, mark):
         assert [m[0] for m in found] == [licence] and found[0][2] == len(ids)
 
 
+@pytest.mark.parametrize("tag", ["MIT", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "CC-BY-4.0"])
+def test_op10_tags(tag):
+    for suffix in ("", "-or-later" if "GPL" in tag else ""):
+        ids = licenses.identifiers(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}{suffix}\nset -e", licenses.SENTENCES)
+        assert [m[0] for m in licenses.match_rules([x for x, _ in ids], licenses.RULES)] == [tag]
+
+
+def test_op10_every_rule(spark):
+    """Each rule is found in a text of its sentences, wrapped behind comment marks, among other lines."""
+    import textwrap
+
+    sentence = {}
+    for text, name in licenses.SENTENCES.items():
+        sentence.setdefault(name, text)
+    docs = []
+    for i, (_, wanted) in enumerate(licenses.RULES):
+        lines = [line for name in wanted for line in [*textwrap.wrap(sentence[name].capitalize() + ".", 50), "", "Some other line."]]
+        docs.append((i, "Head of the file.\n" + "\n".join("# " + x for x in lines)))
+    got = {r[0]: r[1] for r in rows(licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")), "id", "licence")}
+    assert got == {i: licence for i, (licence, _) in enumerate(licenses.RULES)}
+
+
+def test_op10_sentences_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "Use as you\nlike it. Thanks."), (2, "Nothing here.")], "doc_id bigint, text string")
+    got = rows(licenses.scan(docs, sentences={"use as you like it": "free", "thanks": "polite"}, rules=(("Free", ("free", "polite")),)), "id", "licence", "n_sentences")
+    assert got == [(1, "Free", 2)]
+
+
 def test_measure_of_odd_texts():
     assert measure(None) == measure("") == ([0] * 5, measure("")[1])
     assert measure("a<b> c")[0] == [2, 5, 2, 0, 0]
