@@ -73,16 +73,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
-def _shingles(table: str, key: str, n: int) -> str:
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS s
-        FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i
-              FROM (SELECT {key}, {_WORDS.format("text")} AS w FROM {table}) WHERE len(w) > 0)"""
+#: Five-word shingles; an item of fewer words is one shingle of as many.
+_ITEMS = f"SELECT item_id, w, least(len(w), 5) AS n FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) WHERE len(w) > 0"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT {key}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {table} WHERE len(w) >= n)"
 
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": f"""
-    WITH d AS ({_shingles("documents", "doc_id", 5)}), b AS ({_shingles("benchmark", "item_id", 5)}),
+    WITH t AS ({_ITEMS}), x AS (SELECT doc_id, n, w FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), (SELECT DISTINCT n FROM t)),
+         d AS ({_shingles("x", "doc_id")}), b AS ({_shingles("t", "item_id")}),
          n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
     SELECT doc_id, item_id, count(*) AS n_found, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles)::DOUBLE AS containment
-    FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)""",
+    FROM d JOIN b USING (n, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)""",
 }

@@ -360,10 +360,12 @@ def test_decontamination_in_blocks_and_at_edges(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(2100, 2140))
     edited = item.replace("w2103", "x")
     docs = spark.createDataFrame([(1, long), (2, "a b c"), (3, None), (4, ""), (5, "w1 w2 w3")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(1, item), (2, edited), (3, "A b C"), (4, None), (5, "w4998 w4999 end of it all now")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, edited), (3, "A b C"), (4, None), (5, "w4998 w4999 end of it all now"), (6, "W1 w2"), (7, "w2 w1")], "item_id bigint, text string")
     monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 2)
-    assert rows(decontamination.contained_items(docs, items), "doc", "item") == [(1, 1), (1, 2), (2, 3)]
-    assert rows(decontamination.without_items(docs, items), "doc_id") == [(3,), (4,), (5,)]
+    assert rows(decontamination.contained_items(docs, items), "doc", "item") == [(1, 1), (1, 2), (1, 6), (2, 3), (5, 6)]
+    assert rows(decontamination.without_items(docs, items), "doc_id") == [(3,), (4,)]
+    typed = items.where("item_id < 2").selectExpr("cast(item_id AS decimal(5, 1)) AS item_id", "text")
+    assert [float(r[1]) for r in rows(decontamination.contained_items(docs, typed), "doc", "item")] == [1.0]
 
 
 def test_op7(spark, sf, texts):
