@@ -386,8 +386,9 @@ def test_mixing_probabilities_add_up(monkeypatch):
     head = [(b"a", 50), (b"b", 30), (b"c", 5)]
     codes = mixing.Codes.build(head, 10, np.ones(mixing.BUCKETS, np.int64))
     r = np.random.default_rng(0)
-    tables = [r.normal(0, 1, mixing.SLOTS).astype(np.float32) for _ in range(mixing.CONTEXTS)]
-    mixer = mixing.Mixer(codes, tables, np.full((mixing.GATES, mixing.CONTEXTS), 0.5, np.float32))
+    slots = mixing.slots_for(1000)
+    tables = [r.normal(0, 1, slots).astype(np.float32) for _ in range(mixing.CONTEXTS)]
+    mixer = mixing.Mixer(codes, tables, slots)
     monkeypatch.setattr(mixing, "BLOCK", 2)
     n = len(codes.length)
     start = [0, 1, 2, 1, 0]
@@ -397,6 +398,28 @@ def test_mixing_probabilities_add_up(monkeypatch):
     assert math.isclose(np.exp(after - before).sum(), 1, rel_tol=1e-4)
 
 
+def test_slot_tables_by_brute_force(spark, monkeypatch):
+    """Log-odds of all decisions in all contexts, from tasks' chunks, as one loop over the texts counts them."""
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    texts = ["a b a c", "a b b", None, "c x a b", ""]
+    codes = mixing.Codes.build([(b"a", 4), (b"b", 4), (b"c", 2)], 5, np.ones(mixing.BUCKETS, np.int64))
+    slots = mixing.slots_for(0)
+    shipped = spark.sparkContext.broadcast(codes)
+    got = mixing.slot_tables(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), shipped, slots, len(codes.gate))
+    counts = [collections.Counter() for _ in range(3)]
+    for t in texts:
+        sym, cuts, _, _ = codes.tokens([(t or "").encode()])
+        path, n = codes.bits(sym)
+        for k, slot in enumerate(mixing.context_slots(path >> 1, list(codes.slots(sym, cuts)), n, slots)):
+            counts[k].update(zip(slot.tolist(), (path & 1).tolist()))
+    for k in range(3):
+        seen = {s for s, _ in counts[k]}
+        for s in seen:
+            n0, n1 = counts[k][s, 0], counts[k][s, 1]
+            assert math.isclose(got[k][s], math.log((n1 + 0.4) / (n0 + 0.4)) * (n0 + n1) / (n0 + n1 + (mixing.DOUBT if k else 0)), rel_tol=1e-5, abs_tol=1e-6)
+        assert not any(got[k][s] for s in set(range(len(got[k]))) - seen)
+
+
 def test_op8(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     n = sorted(len(tok.encode(t, add_special_tokens=False).ids) for t in texts.values())
