@@ -97,7 +97,7 @@ def stock_terms(file: Column, body: Column) -> Column:
 def redact_json(column: Column) -> Column:
     """A JSON object of strings with values of secret-looking keys replaced and the others redacted."""
     m = F.from_json(column, "map<string,string>")
-    return F.to_json(F.transform_values(m, lambda k, v: F.when(k.rlike("(?i)" + text._SECRET), F.lit("<REDACTED>")).otherwise(text.redact(v))))
+    return F.to_json(F.transform_values(m, lambda k, v: F.when(k.rlike("(?i)" + text._LABEL), F.lit("<REDACTED>")).otherwise(text.redact(v))))
 
 
 def source_envelope(context: Column, quote: Column) -> Column:

@@ -71,3 +71,41 @@ def test_schedules():
 def test_cosine_of_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<float>, b array<float>")
     assert rows(df.select(numeric.cosine(F.col("a"), F.col("b")).alias("c"))) == [(0.0,)]
+
+
+def test_named_sources_and_near_misses(spark):
+    from attesta.operators import policy
+
+    asked = {
+        "文件《Plan A》里的预算": ("plan a", "的预算"), "资料《合同》": ("合同", "资料《合同》"), "in the record named “Notes”, who came?": ("notes", "who came?"),
+        "资件《x》": (None, "资件《x》"), "文案《x》": (None, "文案《x》"), "文件《a》和文件《b》": (None, "文件《a》和文件《b》"), "《x》": (None, "《x》"),
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("q", policy.named_source(F.col("q")), policy.without_named_source(F.col("q"))).collect()}
+    assert got == asked
+
+
+def test_routes_and_near_misses(spark):
+    from attesta.operators import policy
+
+    asked = {
+        "旧备份在哪": "history", "历史备份": "history", "old backup disk": "history", "历备份": "personal", "旧史备份": "personal", "我的年薪": "personal", "do I earn more": "personal",
+        "earnings of the quarter": "stock", "my earnings": "personal", "持仓多少": "stock", "rag pipeline": "technical", "fragment": "personal", "decode this": "personal", "the system design": "technical",
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert dict(df.select("q", policy.route(F.col("q"))).collect()) == asked
+
+
+def test_redaction_and_near_misses(spark):
+    far, near = "auth " + "x" * 56 + " `bob:tulips`", "auth " + "x" * 54 + " `bob:tulips`"
+    cases = {
+        "key sk-abcdefghijkl1": "key sk-<REDACTED>", "sk-short": "sk-short", "ftp://bob:hunter2@host/x": "ftp://bob:<REDACTED>@host/x",
+        "Authorization: Bearer abc.def": "Authorization: Bearer <REDACTED>", "proxy-authorization=Basic QWxh": "proxy-authorization=Basic <REDACTED>",
+        "`bob:tulip1x`": "`bob:<REDACTED>`", "`bob:tulips`": "`bob:tulips`", "账号 `bob:tulips`": "账号 `bob:<REDACTED>`", far: far, near: near.replace("tulips", "<REDACTED>"),
+        "账号 `C:\\temp1x`": "账号 `C:\\temp1x`", "账号 `https://host/a1b`": "账号 `https://host/a1b`", "账号 `https://host/a?b=1`": "账号 `https:<REDACTED>`",
+        'password = "a b c"': 'password = "<REDACTED>"', "pwd: abc, next": "pwd: <REDACTED>, next", "密码：hello 后": "密码：<REDACTED> 后", "access-key: x": "access-key: x", "api_key=x;y": "api_key=<REDACTED>;y",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    once = text.redact(F.col("c"))
+    for c, got, again in df.select("c", once, text.redact(once)).collect():
+        assert got == cases[c] == again
