@@ -64,23 +64,9 @@ def _(spark, d):
     return facts.expand_queries(fixture(spark, "asked"), fixture(spark, "glossary"))
 
 
-@query("C07_route", f"{ctes('asked')} SELECT query_id, CASE WHEN query_id = 4 THEN 'stock' WHEN query_id = 5 THEN 'technical' ELSE 'personal' END AS scope FROM asked")
-def _(spark, d):
-    return fixture(spark, "asked").select("query_id", policy.route(F.col("q")).alias("scope"))
-
-
-FIXTURES["named"] = ("query_id bigint, q string", [(1, "what does document named \"Plan A\" say"), (2, "资料《合同》 里的日期"), (3, "file named \"a\" and file named \"b\""), (4, "no file"), (5, "record named \"notes\"")])
 FIXTURES["files"] = ("file string", [("x/Plan A.md",), ("y/合同.md",), ("notes.md",), ("z/notes.md",), ("card_ABC#short_2024-05-06.md",), ("card_ABC#MID#long_2024-13-01.md",), ("card_X.Y#mid_2023-01-31.md",), ("C:\\a\\b.txt",)])
 
 
-@query("C08_named_source", f"""{ctes('named', 'files')}, n AS (SELECT query_id, CASE query_id WHEN 1 THEN 'plan a' WHEN 2 THEN '合同' WHEN 5 THEN 'notes' END AS name FROM named),
-  k AS (SELECT DISTINCT file, unnest([lower(file), list_last(string_split(lower(file), '/')), regexp_replace(list_last(string_split(lower(file), '/')), '[.][^.]*$', '')]) AS name FROM files)
-  SELECT query_id, n.name, CASE count(DISTINCT file) WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS state FROM n LEFT JOIN k USING (name) WHERE n.name IS NOT NULL GROUP BY ALL""")
-def _(spark, d):
-    q = fixture(spark, "named").select("query_id", policy.named_source(F.col("q")).alias("name")).where("name IS NOT NULL")
-    return q.join(policy.resolve_name(q.select("name").distinct(), fixture(spark, "files")).select("name", "state"), "name")
-
-
 @query("A02_resolve_file", f"{ctes('files')} SELECT base, count(*) AS n, CASE WHEN count(*) = 1 THEN min(file) END AS file FROM (SELECT file, list_last(string_split(file, '/')) AS base FROM files) GROUP BY base")
 def _(spark, d):
     rows = fixture(spark, "files").withColumn("base", F.element_at(F.split("file", "/"), -1))
@@ -102,15 +88,6 @@ def _(spark, d):
     return fixture(spark, "files").where((c["ticker"] == "ABC") & (c["horizon"] == "short"))
 
 
-FIXTURES["stock_q"] = ("query_id bigint, q string", [(1, "ABC 2024-05-06 plan"), (2, "ABC short versus XYZ short"), (3, "ABC since 2024-01-01"), (4, "X.Y mid"), (5, "what happened")])
-
-
-@query("C04_stock_filter", f"{ctes('stock_q')} SELECT query_id, CASE query_id WHEN 1 THEN 'ABC' WHEN 4 THEN 'X.Y' END AS ticker, CASE query_id WHEN 1 THEN '2024-05-06' END AS card_date, CASE query_id WHEN 4 THEN 'mid' END AS horizon FROM stock_q")
-def _(spark, d):
-    f = policy.stock_filter(F.col("q"))
-    return fixture(spark, "stock_q").select("query_id", f["ticker"].alias("ticker"), f["card_date"].alias("card_date"), f["horizon"].alias("horizon"))
-
-
 @query("I24_source_label", f"{ctes('files')} SELECT file, substring(CASE WHEN len(p) > 1 THEN p[-2] || ' ' ELSE '' END || regexp_replace(p[-1], '[.][^.]*$', ''), 1, 120) AS label FROM (SELECT file, string_split(replace(file, chr(92), '/'), '/') AS p FROM files)")
 def _(spark, d):
     return fixture(spark, "files").select("file", text.source_label(F.col("file")).alias("label"))
@@ -120,19 +97,6 @@ FIXTURES["paths"] = ("path string", [("a/node_modules/x.js",), ("a/b/app.min.js"
 FIXTURES["rules"] = ("rule_ord bigint, prefix string, component string, under string, scope string, purpose string, reason string", [(1, "keep/special", None, None, "stock", "knowledge", "by_prefix"), (2, None, "d*p", "special", "technical", "draft", "by_component")])
 
 
-@query("C06_classify_path", f"""{ctes('paths')} SELECT path, CASE WHEN path IN ('a/node_modules/x.js', 'a/b/app.min.js', 'logs/x.log') THEN 'exclude' WHEN path LIKE 'keep/special/%' THEN 'stock' WHEN path LIKE 'Special/sub/deep/%' THEN 'technical'
-  WHEN path LIKE 'backups/%' THEN 'history' WHEN path LIKE '%.py' OR path LIKE '%.xyz' THEN 'technical' ELSE 'personal' END AS scope,
-  CASE WHEN path LIKE 'a/node%' THEN 'dependency_directory' WHEN path LIKE '%.min.js' THEN 'generated_or_secret' WHEN path LIKE '%.log' THEN 'raw_log' WHEN path LIKE 'keep/%' THEN 'by_prefix' WHEN path LIKE 'Special/%' THEN 'by_component'
-  WHEN path LIKE 'backups/%' THEN 'backup' WHEN path LIKE '%.py' THEN 'source_code' WHEN path LIKE '%.xyz' THEN 'other_material' ELSE 'personal_document' END AS reason FROM paths""")
-def _(spark, d):
-    return policy.classify(fixture(spark, "paths"), fixture(spark, "rules")).select("path", "scope", "reason")
-
-
-@query("I25_project_group", f"{ctes('paths')} SELECT path, CASE path WHEN '06_work/p1/src/a.py' THEN '06_work/p1' WHEN 'home/projects/p2/b.md' THEN 'home/projects/p2' END AS project FROM paths")
-def _(spark, d):
-    return fixture(spark, "paths").select("path", numeric.project_group(F.col("path")).alias("project"))
-
-
 FIXTURES["labelled"] = ("chunk_id bigint, source string, file string, heading string", [(1, "pdf", "b", "p2"), (2, "pdf", "b", "p20"), (3, "pdf", "b", "p2 (1)"), (4, "case", "f", "Intro part"), (5, "case", "f", "Intro part two"), (6, "case", "g", "Intro")])
 FIXTURES["section_labels"] = ("source string, file string, heading_prefix string, purpose string", [("pdf", "b", "p2", "evaluation"), ("case", "f", "Intro", "draft"), ("case", "f", "Intro part two", "navigation")])
 
@@ -571,17 +535,6 @@ def _(spark, d):
     return search_get_pairs(s, g).agg(F.count(F.lit(1)).alias("pairs"))
 
 
-FIXTURES["secrets"] = ("text string, expected string", [
-    ("password: hunter2 rest", "password: <REDACTED> rest"), ("token = \"a b c\" end", "token = \"<REDACTED>\" end"), ("https://me:pw@host/x", "https://me:<REDACTED>@host/x"), ("Authorization: Bearer abc.def", "Authorization: Bearer <REDACTED>"),
-    ("sk-abcdefghijklmnop", "sk-<REDACTED>"), ("see `C:/dir/file` here", "see `C:/dir/file` here"), ("`https://host/path`", "`https://host/path`"), ("auth `me:secret1x`", "auth `me:<REDACTED>`"), ("`host:running`", "`host:running`"), ("plain words", "plain words")])
-
-
-@query("I07_redact", f"{ctes('secrets')} SELECT text, expected AS redacted, expected AS twice FROM secrets")
-def _(spark, d):
-    once = text.redact(F.col("text"))
-    return fixture(spark, "secrets").select("text", once.alias("redacted"), text.redact(once).alias("twice"))
-
-
 FIXTURES["forms"] = ("text string, folded string, words string, alternates string, numbers string", [
     ("Café ＡＢＣ", "Cafe ABC", "cafe abc", "", ""), ("SYN-DL-88231-40117.", "SYN-DL-88231-40117.", "syn-dl-88231-40117", "syn dl 88231 40117", ""), ("pay 128,500.00 now", "pay 128,500.00 now", "pay 128 500.00 now", "500 00 128500.00 128500", "128500.00"),
     ("中文字", "中文字", "中文 文字", "", ""), ("字", "字", "字", "", "")])
@@ -597,66 +550,6 @@ def _(spark, d):
     return fixture(spark, "forms").select("text", F.array_join(text.compound_tokens(F.col("text")), " ").alias("words"), F.array_join(text.alternates(F.col("text")), " ").alias("alternates"))
 
 
-FIXTURES["said"] = ("claim_id bigint, text string", [(1, "Revenue rose to 1,250 in 2024-03-05. It may fall; cost was 30 dollars."), (2, "The order was not filled."), (3, "Nothing to see")])
-FIXTURES["cited"] = ("claim_id bigint, evidence_id string, quote string", [(1, "e1", "revenue rose to 1250 on 2024-03-05"), (2, "e2", "the order was filled"), (3, "e9", "missing")])
-FIXTURES["held"] = ("evidence_id string, text string", [("e1", "Our revenue rose to 1250 on 2024-03-05 they said"), ("e2", "Then the order was filled at noon")])
-
-
-@query("K11_check_answer", f"{ctes('said')} SELECT column0::BIGINT AS claim_id, column1::INT AS sentence, column2 AS problems FROM (VALUES (1, 0, ''), (1, 1, 'number_not_quoted'), (2, 0, 'outcome_unproven'), (3, 0, 'invalid_quote')) v(column0, column1, column2)")
-def _(spark, d):
-    return claims.check_answers(fixture(spark, "said"), fixture(spark, "cited"), fixture(spark, "held")).select("claim_id", "sentence", F.array_join("problems", ",").alias("problems"))
-
-
-@query("D13_citation_context", f"{ctes('cited', 'held')} SELECT claim_id, coalesce(contains(regexp_replace(lower(text), '\\s+', '', 'g'), regexp_replace(lower(quote), '\\s+', '', 'g')), false) AS valid FROM cited LEFT JOIN held USING (evidence_id)")
-def _(spark, d):
-    j = fixture(spark, "cited").join(fixture(spark, "held"), "evidence_id", "left")
-    return j.select("claim_id", F.coalesce(F.contains(text.normal(F.col("text")), text.normal(F.col("quote"))), F.lit(False)).alias("valid"))
-
-
-FIXTURES["graded_facts"] = ("question_id bigint, fact_id bigint, claim_terms array<array<string>>", [(1, 1, [["revenue"], ["1,250", "1250"]]), (1, 2, [["cost"]]), (2, 1, [["profit"]])])
-
-
-@query("L09_grade_answer", f"{ctes('graded_facts')} SELECT column0::BIGINT AS question_id, column1::BIGINT AS matched, column2::BIGINT AS facts, column3 AS grounded FROM (VALUES (1, 2, 2, false), (2, 0, 1, false)) v(column0, column1, column2, column3)")
-def _(spark, d):
-    checked = claims.check_answers(fixture(spark, "said"), fixture(spark, "cited"), fixture(spark, "held")).withColumnRenamed("claim_id", "question_id")
-    return claims.grade(fixture(spark, "graded_facts"), checked)
-
-
-FIXTURES["reviewed"] = ("id bigint, question string, context string, purpose string", [(1, "What was it in 2023?", "in 2022", "knowledge"), (2, "current balance", "x", "draft"), (3, "my role in 2021", "2021 role", None), (4, "plain", "plain", None)])
-
-
-@query("C16_review_reasons", f"{ctes('reviewed')} SELECT id, CASE id WHEN 1 THEN 'missing_year' WHEN 2 THEN 'current_status,draft_source' WHEN 3 THEN 'role' ELSE '' END AS reasons FROM reviewed")
-def _(spark, d):
-    return fixture(spark, "reviewed").select("id", F.array_join(claims.review_reasons(F.col("question"), F.col("context"), F.col("purpose")), ",").alias("reasons"))
-
-
-FIXTURES["markdown"] = ("file string, text string", [("a.md", "intro\n# One\nbody 1\n```\n# not a heading\n```\n## Two\n\n### Three\nlast"), ("b.md", "---\ntitle: t\nrag_purpose: evaluation\nmore: y\n---\n# T\nx"), ("c.md", ""), ("d.md", "#### deep\nstays")])
-
-
-@query("B01_heading_blocks", f"""{ctes('markdown')} SELECT * FROM (VALUES ('a.md', '(start)', 'intro'), ('a.md', 'One', 'body 1' || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```'), ('a.md', 'Three', 'last'), ('b.md', '(start)', '---' || chr(10) || 'title: t' || chr(10) || 'rag_purpose: evaluation' || chr(10) || 'more: y' || chr(10) || '---'), ('b.md', 'T', 'x'), ('d.md', '(start)', '#### deep' || chr(10) || 'stays')) v(id, heading, body)""")
-def _(spark, d):
-    from ..operators import chunking
-
-    return chunking.heading_blocks(fixture(spark, "markdown")).select("id", "heading", "body")
-
-
-@query("B14_frontmatter", f"{ctes('markdown')} SELECT file, CASE file WHEN 'b.md' THEN 'evaluation' END AS purpose FROM markdown")
-def _(spark, d):
-    from ..operators import chunking
-
-    return fixture(spark, "markdown").select("file", chunking.frontmatter_purpose(F.col("text")).alias("purpose"))
-
-
-FIXTURES["kinds"] = ("heading string, body string", [("Contents", "x"), ("Links", "a"), ("Text", "- [a](b)\n- [c](d)\nmore"), ("Text", "words\nmore words")])
-
-
-@query("B13_evidence_kind", f"{ctes('kinds')} SELECT heading, body, CASE WHEN body IN ('x', 'a') OR body LIKE '- [%' THEN 'navigation' ELSE 'body' END AS kind FROM kinds")
-def _(spark, d):
-    from ..operators import chunking
-
-    return fixture(spark, "kinds").select("heading", "body", chunking.evidence_kind(F.col("heading"), F.col("body")).alias("kind"))
-
-
 @query("B04_chunk_strategy", "SELECT source, CASE WHEN source IN ('src0', 'src1') THEN 'paragraph' ELSE 'character' END AS strategy FROM (SELECT DISTINCT source FROM documents)")
 def _(spark, d):
     return table(spark, d, "documents").select("source").distinct().select("source", F.when(F.col("source").isin("src0", "src1"), "paragraph").otherwise("character").alias("strategy"))

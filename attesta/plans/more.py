@@ -22,19 +22,6 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("bigint").alias("ordinal"))
 
 
-FIXTURES["stock_cards"] = ("file string, body string", [("card_ABC#short_2024-05-06.md", "plan / in 10.5 and / stop 9"), ("card_ABC#long_2024-05-07.md", "nothing"), ("note.md", "/ in 3")])
-
-
-@query("B12_stock_terms", f"{ctes('stock_cards')} SELECT file, CASE file WHEN 'card_ABC#short_2024-05-06.md' THEN 'ABC 2024-05-06 short term entry stop loss' WHEN 'card_ABC#long_2024-05-07.md' THEN 'ABC 2024-05-07 long term' END AS terms FROM stock_cards")
-def _(spark, d):
-    return fixture(spark, "stock_cards").select("file", authoring.stock_terms(F.col("file"), F.col("body")).alias("terms"))
-
-
-@query("I05_grouped_numbers", f"{ctes('forms')} SELECT text, CASE WHEN text LIKE 'pay%' THEN '128500.00 128500' ELSE '' END AS numbers FROM forms")
-def _(spark, d):
-    return fixture(spark, "forms").select("text", F.array_join(text.grouped_numbers(F.col("text")), " ").alias("numbers"))
-
-
 @query("I04_query_terms", f"WITH {retrieval.BM25} SELECT query_id, term, times FROM qt")
 def _(spark, d):
     return lexical.query_terms(retrieval.questions(spark, d))
@@ -45,62 +32,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.normal(F.col("text"))).alias("digest"))
 
 
-FIXTURES["json_"] = ("j string, expected string", [('{"a":"pwd=x1y2","Token":"t"}', '{"a":"pwd=<REDACTED>","Token":"<REDACTED>"}'), ('{"b":"plain"}', '{"b":"plain"}')])
-
-
-@query("I08_redact_json", f"{ctes('json_')} SELECT j, expected AS redacted FROM json_")
-def _(spark, d):
-    return fixture(spark, "json_").select("j", authoring.redact_json(F.col("j")).alias("redacted"))
-
-
 @query("I11_sentences", r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([。！？!?；;])', '\1' || chr(1), 'g'), '(\n+)|([a-zA-Z])[.]\s+', '\2' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')) AS n FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
-FIXTURES["prose"] = ("id bigint, body string", [(1, "The price rose, but if it falls we sell. It closed at 3,000 on 2024-05-06; nothing else."), (2, "2024-01-02 close 10.5; high 12, 2024-02-30 open 3"), (3, "card number and Visa account")])
-
-
-@query("I12_factual_fragments", f"{ctes('prose')} SELECT id, CASE id WHEN 1 THEN 3 ELSE 2 END AS n FROM prose WHERE id < 3")
-def _(spark, d):
-    rows = fixture(spark, "prose").where("id < 3")
-    return rows.select("id", F.size(text.factual_fragments(F.col("body"))).alias("n"))
-
-
-@query("I13_dates", f"{ctes('prose')} SELECT id, CASE id WHEN 1 THEN '2024-05-06' WHEN 2 THEN '2024-01-02' ELSE '' END AS dates FROM prose")
-def _(spark, d):
-    return fixture(spark, "prose").select("id", F.array_join(F.transform(text.dates(F.col("body")), text.date_text), ",").alias("dates"))
-
-
-@query("I14_numbers", f"{ctes('prose')} SELECT id, CASE id WHEN 1 THEN '3000' WHEN 2 THEN '10.5,12,3' ELSE '' END AS numbers FROM prose")
-def _(spark, d):
-    fixed = F.transform(text.numbers(F.col("body")), lambda n: F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.regexp_replace(n.cast("string"), "0+$", "")))
-    return fixture(spark, "prose").select("id", F.array_join(fixed, ",").alias("numbers"))
-
-
-@query("I15_outcomes", f"{ctes('said')} SELECT claim_id, CASE claim_id WHEN 2 THEN 'filled:no' ELSE '' END AS outcomes FROM said")
-def _(spark, d):
-    from ..operators.claims import outcomes
-
-    return fixture(spark, "said").select("claim_id", F.array_join(outcomes(F.col("text")), ",").alias("outcomes"))
-
-
-@query("I16_source_envelope", f"{ctes('cited', 'held')} SELECT claim_id, CASE claim_id WHEN 1 THEN 1 WHEN 2 THEN 1 END AS n FROM cited WHERE claim_id < 3")
-def _(spark, d):
-    j = fixture(spark, "cited").join(fixture(spark, "held"), "evidence_id")
-    return j.select("claim_id", F.size(authoring.source_envelope(F.col("text"), F.col("quote"))).alias("n"))
-
-
-@query("I17_price_units", f"{ctes('prose')} SELECT id, CASE id WHEN 2 THEN '2024-01-02|close|10.5' ELSE '' END AS units FROM prose WHERE id > 1")
-def _(spark, d):
-    return fixture(spark, "prose").where("id > 1").select("id", F.array_join(authoring.price_units(F.col("body")), ",").alias("units"))
-
-
-@query("I22_label_tokens", f"{ctes('prose')} SELECT id, CASE id WHEN 3 THEN 'card number,visa,account' ELSE '' END AS labels FROM prose")
-def _(spark, d):
-    return fixture(spark, "prose").select("id", F.array_join(facts.label_tokens(F.col("body")), ",").alias("labels"))
-
-
 @query("I28_idf", f"WITH {retrieval.BM25} SELECT term, round(ln((n + 1) / (df + 0.5)), 9) AS idf FROM df, st")
 def _(spark, d):
     post, sizes = retrieval.index(spark, d)
@@ -156,18 +92,6 @@ def _(spark, d):
     return retrieval.vector_leg(spark, d, 5, table(spark, d, "embeddings").where("label = 2").select("vec_id")).select("query_id", "vec_id", "rank")
 
 
-@query("H05_numbers_unquoted", f"{ctes('said', 'cited')} SELECT claim_id, CASE claim_id WHEN 1 THEN '30' ELSE '' END AS missing FROM said")
-def _(spark, d):
-    j = fixture(spark, "said").join(fixture(spark, "cited"), "claim_id", "left")
-    miss = F.array_except(text.numbers(F.col("text")), text.numbers(F.col("quote")))
-    return j.select("claim_id", F.array_join(F.transform(miss, lambda n: F.floor(n).cast("string")), ",").alias("missing"))
-
-
-@query("H06_years_unsupported", f"{ctes('reviewed')} SELECT id, CASE id WHEN 1 THEN '2023' ELSE '' END AS missing FROM reviewed")
-def _(spark, d):
-    return fixture(spark, "reviewed").select("id", F.array_join(F.array_except(text.years(F.col("question")), text.years(F.col("context"))), ",").alias("missing"))
-
-
 @query("K03_compound_bm25", None)
 def _(spark, d):
     """BM25 over words and alternates, of which only words make a document longer."""
@@ -270,11 +194,6 @@ def _(spark, d):
 FIXTURES["answers"] = ("answer_id bigint, answer string", [(1, '{"claims":[{"citations":[{"quote":"q","evidence_id":"e"}],"text":"a"}],"reason":"","decision":"answer"}'), (2, '{"decision":"refuse","claims":[],"reason":"none found"}'), (3, '{"decision":"answer","claims":[]}'), (4, "not json"), (5, '{"claims":[{"citations":[],"text":"a"}],"decision":"answer"}')])
 
 
-@query("L08_parse_answers", f"{ctes('answers')} SELECT answer_id, answer_id IN (1, 2) AS valid, CASE answer_id WHEN 1 THEN 1 ELSE 0 END AS n_citations FROM answers")
-def _(spark, d):
-    return authoring.parse_answers(fixture(spark, "answers")).select("answer_id", "valid", "n_citations")
-
-
 @query("L10_seal", None)
 def _(spark, d):
     return authoring.seal(fixture(spark, "suite"))
