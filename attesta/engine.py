@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -47,10 +48,7 @@ class Engine:
         name = "+".join(sorted(sources))
         if name not in self._tables:
             rows = self.chunks.where(F.col("source").isin(*sources)).withColumn("t", F.concat_ws(" ", "file", "heading", "body"))
-            base = f"{shared_dir(self.spark)}/index-{abs(hash((id(self), name)))}"
-            lexical.postings(rows, "chunk_id", "t").repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/postings")
-            lexical.lengths(rows, "chunk_id", "t").write.mode("overwrite").parquet(f"{base}/lengths")
-            self._tables[name] = (self.spark.read.parquet(f"{base}/postings"), self.spark.read.parquet(f"{base}/lengths"))
+            self._tables[name] = lexical.write_index(rows, f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}", "chunk_id", "t")
         return self._tables[name]
 
     def search(
@@ -116,8 +114,10 @@ class Engine:
             return rows.where(F.col("digest") == digest)
         rows = rows.where(F.col("file") == file)
         if heading:
-            exact = F.max((F.col("heading") == heading).cast("int")).over(Window.partitionBy("file"))
-            rows = rows.withColumn("e", exact).where(F.when(F.col("e") == 1, F.col("heading") == heading).otherwise(F.startswith("heading", F.lit(heading)))).drop("e")
+            # an exact heading, else one that is the only one to begin so
+            begins = rows.where(F.startswith("heading", F.lit(heading)))
+            best = begins.agg(F.max(F.col("heading") == heading).alias("exact"), F.count_distinct("heading").alias("n"))
+            rows = begins.join(F.broadcast(best), how="cross").where(F.when(F.col("exact"), F.col("heading") == heading).otherwise(F.col("n") == 1)).drop("exact", "n")
         return rows.withColumn("body", F.substring("body", 1, limit))
 
     def evidence(self, queries: DataFrame, budget: int = 12_000, passages: int = 5) -> DataFrame:
@@ -126,7 +126,8 @@ class Engine:
         if not 200 <= budget <= 50_000 or not 1 <= passages <= 10:
             raise ValueError("budget must lie in 200..50000 and passages in 1..10")
         w = Window.partitionBy("file").orderBy("chunk_id")
-        rows = self.chunks.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("whole", F.sum(F.length("body")).over(Window.partitionBy("file")))
+        asked = self.chunks.join(queries.select("file").distinct(), "file", "left_semi")
+        rows = asked.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("whole", F.sum(F.length("body")).over(Window.partitionBy("file")))
         mine = queries.join(rows, "file")
         fits = mine.where(F.col("whole") <= budget).select("query_id", "file", "ordinal", "body")
         long = mine.where(F.col("whole") > budget)

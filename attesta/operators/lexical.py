@@ -23,6 +23,15 @@ def lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text")
     return chunks.select(F.col(id_col).alias("chunk_id"), F.size(text.tokenize(F.col(text_col))).cast("bigint").alias("length"))
 
 
+def write_index(chunks: DataFrame, base: str, id_col: str = "chunk_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths as tables below ``base``, to be searched again and again. Postings lie in order of
+    their terms, so a scan for some terms skips most row groups."""
+    spark = chunks.sparkSession
+    postings(chunks, id_col, text_col).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/postings")
+    lengths(chunks, id_col, text_col).write.mode("overwrite").parquet(f"{base}/lengths")
+    return spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/lengths")
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -111,10 +111,19 @@ def _(spark, d):
     return q.join(sizes, "scope")
 
 
-@query("K14_evidence", f"WITH {retrieval.CHUNKS}, w AS (SELECT doc_id, part, sum(length(body)) OVER (PARTITION BY doc_id) AS whole FROM chunks) SELECT doc_id, part FROM w WHERE doc_id % 20 = 0 AND whole <= 12000")
+def evidence_of(spark, d, every=20):
+    """Every document whose id is divisible by ``every``, asked for by its own opening; short ones come whole, of long ones the best passages."""
+    from ..engine import Engine
+
+    file, part = F.concat(F.lit("d"), "doc_id"), F.lpad("part", 9, "0")
+    c = retrieval.chunks(spark, d).select(F.concat_ws(":", "doc_id", part).alias("chunk_id"), "source", file.alias("file"), "heading", "body", F.lit(None).cast("string").alias("purpose"))
+    asked = table(spark, d, "documents").where(F.col("doc_id") % every == 0).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("q"), file.alias("file"))
+    return Engine(spark, c).evidence(asked)
+
+
+@query("K14_evidence", None)
 def _(spark, d):
-    c = retrieval.chunks(spark, d).withColumn("whole", F.sum(F.length("body")).over(Window.partitionBy("doc_id")))
-    return c.where("doc_id % 20 = 0 AND whole <= 12000").select("doc_id", "part")
+    return evidence_of(spark, d).select(F.col("query_id").alias("doc_id"), F.col("ordinal").cast("bigint").alias("part"), F.length("body").alias("n"))
 
 
 @query("K15_get_document", "SELECT doc_id::VARCHAR AS asked, md5(text) AS digest FROM documents WHERE doc_id % 20 = 0")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
+from ..session import shared_dir
 from ..operators import chunking, dense, fusion, lexical
 from .registry import query, table
 
@@ -33,9 +36,23 @@ def chunks(spark, d):
     return chunking.char_chunks(docs, ["doc_id", "source"])
 
 
+_INDEXES: dict[tuple, tuple] = {}
+
+
 def index(spark, d):
+    """Postings and lengths of all documents, built once for a session and a state of the files."""
     docs = documents(spark, d)
-    return lexical.postings(docs, "doc_id"), lexical.lengths(docs, "doc_id")
+    key = (spark.sparkContext.applicationId, *state(spark, f"{d}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.write_index(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    return _INDEXES[key]
+
+
+def state(spark, path: str) -> tuple:
+    """Names, sizes and times of the files of a table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
 
 
 def questions(spark, d):

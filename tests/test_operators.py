@@ -116,3 +116,51 @@ def test_reranker_sees_whole_chunks(spark):
     queries = spark.createDataFrame([(1, "apple")], "query_id bigint, q string")
     got = Engine(spark, chunks, reranker=Answers()).search(queries, "bm25", drop_low=True).select("file", "level").collect()
     assert {tuple(r) for r in got} == {("f", "high"), ("g", "high")}
+
+
+def test_evidence_of_all_documents(spark, sf):
+    """Short documents whole, of long ones the five best passages and the neighbours of the best two, by brute force."""
+    import collections
+    import math
+    import re
+
+    from attesta.plans.more import evidence_of
+
+    tokens = lambda t: [x.lower() for x in re.findall(r"[A-Za-z0-9_./:\-]+", t)] + [p for r in re.findall("[一-鿿]+", t) for p in ([r] if len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])]
+    want, long = set(), 0
+    for i, t in rows(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"):
+        parts = [t] if len(t) <= 1500 else [t[k * 1350 : k * 1350 + 1500] for k in range((len(t) - 1) // 1350 + 1)]
+        if sum(map(len, parts)) <= 12_000:
+            want |= {(i, k, len(p)) for k, p in enumerate(parts)}
+            continue
+        long += 1
+        asked = collections.Counter(tokens(t[:80]))
+        scores = {k: sum(n * math.log1p(c[w]) for w, n in asked.items()) for k, c in enumerate(map(collections.Counter, map(tokens, parts)))}
+        best = sorted((k for k, s in scores.items() if s > 0), key=lambda k: (-round(scores[k], 9), k))[:5]
+        order = best + sorted({n for k in best[:2] for n in (k - 1, k + 1) if 0 <= n < len(parts)} - set(best))
+        size = 0
+        for k in order:
+            size += len(parts[k])
+            if size > 12_000:
+                break
+            want.add((i, k, len(parts[k])))
+    assert long and set(rows(evidence_of(spark, sf, 1).select("query_id", "ordinal", F.length("body").alias("n")), "query_id", "ordinal", "n")) == want
+
+
+def test_nearest_rank(spark):
+    import math
+
+    from attesta.operators import evaluation
+
+    df = spark.createDataFrame([(g, float(v)) for g in range(3) for v in range(1, 8 + g)] + [(0, None)], "g int, ms double")
+    for share in (0.5, 0.95, 1.0):
+        got = dict(rows(evaluation.nearest_rank(df, "ms", share, ["g"]), "g", "quantile"))
+        assert got == {g: math.ceil(share * (7 + g)) for g in range(3)}
+
+
+def test_headings_that_begin_alike(spark):
+    from attesta.engine import Engine
+
+    c = spark.createDataFrame([("1", "case", "f", "Intro", "a", None), ("2", "case", "f", "Intro two", "b", None), ("3", "case", "f", "Other", "c", None), ("4", "case", "f", "Otter", "d", None)], "chunk_id string, source string, file string, heading string, body string, purpose string")
+    e = Engine(spark, c)
+    assert [rows(e.get("f", h), "chunk_id") for h in ("Intro", "Intro t", "Ot", "None")] == [[("1",)], [("2",)], [], []]
