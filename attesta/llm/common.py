@@ -7,11 +7,16 @@ Words are maximal runs of bytes other than space and ``\\x09``-``\\x0D``; that i
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import time
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +51,41 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def lean(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches, with the worker's memory given back before and after.
+
+    Workers live on from stage to stage, and so does what an earlier operator cached in them or
+    its allocator kept; ``keep`` leaves the tokenizer's cache.
+    """
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        if not keep and (tokens := sys.modules.get("attesta.llm.tokens")):
+            tokens.encoder.cache_clear()
+        _trim()
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return wrapped
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches`` with some ``size`` bytes in column ``text``, for steps that need many times a text's memory."""
+    for b in batches:
+        ends = np.cumsum(np.array([len(t or b"") + 16 for t in b.column(text).cast(pa.binary()).to_pylist()], np.int64))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(size, ends[-1] if len(ends) else 0, size)) + 1, [b.num_rows]]))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield b.slice(lo, hi - lo)
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Scratch:
     """Intermediate tables in the shared folder; they cut lineage and survive lost executors.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import union_all
+from .common import lean, union_all
 from .words import run_hashes, word_hashes
 
 SHINGLE, CONTAINMENT, HASHES = 5, 0.8, 32
@@ -154,7 +154,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
                 columns.append(pa.array([x / y for x, y in zip(n, of, strict=True)], pa.float64()))
                 yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), *columns], ["doc", "item", "n_found", "n_shingles", "containment"])
 
-        return picked.mapInArrow(run, schema)
+        return picked.mapInArrow(lean(run), schema)
 
     return union_all([one_pass(x) for x in _blocks(items, item_col, text_col)])
 
@@ -182,5 +182,5 @@ def without_items(docs: DataFrame, items: DataFrame, item_col: str = "item_id",
                 clean[[row for row, *_ in own.search(b.column(at).cast(pa.binary()).to_pylist())]] = False
                 yield b.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(lean(run), docs.schema)
     return kept

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, unused
+from .common import Scratch, connected_components, lean, unused
 
 SHINGLE, SEED, BITS, DISTANCE = 4, 42, 64, 4
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) of each row, in one pass and without a shuffle."""
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_fingerprints, f"id {kind}, fp bigint")
+    return picked.mapInArrow(lean(_fingerprints), f"id {kind}, fp bigint")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import lean
+
 #: Exact counts, long.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Ratios, double; 0 where the denominator is 0.
@@ -91,7 +93,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = dict(docs.dtypes)[id_col]
     schema = ", ".join([f"id {kind}", *(f"{c} bigint" for c in COUNTS), *(f"{r} double" for r in RATIOS)])
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(_statistics, schema)
+    return picked.mapInArrow(lean(_statistics), schema)
 
 
 def with_statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataFrame:
@@ -105,7 +107,7 @@ def with_statistics(docs: DataFrame, into: str, text_col: str = "text") -> DataF
             yield pa.record_batch([*b.columns, pa.StructArray.from_arrays([pa.array(x) for x in ratios.T.copy()], list(RATIOS))], [*b.schema.names, into])
 
     kind = StructType([StructField(r, DoubleType()) for r in RATIOS])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, kind)]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(into, kind)]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, limit: int) -> DataFrame:

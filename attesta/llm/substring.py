@@ -19,8 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, free, union_all, unused
-from .tokens import encoder
+from .common import Scratch, connected_components, free, lean, pieces, union_all, unused
 from .words import run_hashes, word_hashes
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
@@ -134,8 +133,7 @@ def windows(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that packed before holds a large cache; its memory serves here
-        for b in batches:
+        for b in pieces(batches, 2):
             s, begins, ends = tokens(b.column(2).cast(pa.binary()).to_pylist())
             if not len(s):
                 continue
@@ -161,7 +159,7 @@ def windows(texts: DataFrame) -> DataFrame:
                 yield pa.record_batch(columns, ["sign", "doc", "copy", "h", "lo", "at", "hi", "before", "after", "again", "first"])
 
     kind = dict(texts.dtypes)["doc"]
-    return texts.select("doc", "copy", "text").mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, lo int, at int, hi int, before int, after int, again tinyint, first tinyint")
+    return texts.select("doc", "copy", "text").mapInArrow(lean(run), f"sign bigint, doc {kind}, copy bigint, h tinyint, lo int, at int, hi int, before int, after int, again tinyint, first tinyint")
 
 
 def _among(rows: DataFrame, on: list[Column], keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -231,7 +229,7 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad, steps = np.zeros(REACH, np.uint32), np.arange(_WIDTH)
-        for b in batches:
+        for b in pieces(batches, 2):
             cuts, w = b.column(3).offsets.to_numpy(), b.column(3).values
             field = {k: w.field(k).to_numpy(zero_copy_only=False) for k in ("sign", "h", "lo", "at", "hi")}
             s, begins, _ = tokens(b.column(2).cast(pa.binary()).to_pylist())
@@ -249,7 +247,7 @@ def surroundings(rows: DataFrame, texts: DataFrame) -> DataFrame:
                     )
 
     both = own.join(texts, ["doc", "copy"]).select("doc", "copy", "text", "w")
-    return both.mapInArrow(run, f"sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
+    return both.mapInArrow(lean(run), f"sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
 
 
 def runs_of(around: np.ndarray, salt: np.ndarray, width: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -429,7 +427,7 @@ def _link_batch(ids: pa.Array, copies: pa.Array, row, start, n, source, source_s
     return pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h"])
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], size: int = 16_384) -> Iterator[pa.RecordBatch]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], size: int = 6_000) -> Iterator[pa.RecordBatch]:
     """Batches, sorted by their first column, joined and cut so that no group is divided."""
     kept: list[pa.RecordBatch] = []
     for b in batches:
@@ -485,7 +483,7 @@ def compared(rows: DataFrame, exact: bool = True, survivors: bool = False) -> Da
                 yield pa.record_batch(columns, ["doc", "copy", "start", "n", "source", "source_copy", "source_start", "similarity", "h", "key", "around"])
 
     rows = rows.select("key", "sign", "doc", "copy", "h", "at", "around")
-    return rows.repartition("key").sortWithinPartitions("key", "sign", "doc", "copy", "at").mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "sign", "doc", "copy", "at").mapInArrow(lean(run), schema)
 
 
 def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -507,7 +505,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
             start = b.column(3).to_numpy()[row].astype(np.int64) - REACH + step
             yield pa.record_batch([b.column(0).take(which), pa.array(keys[row, step].view(np.int64)), b.column(1).take(which), b.column(2).take(which), pa.array(start)], ["sign", "run", "doc", "copy", "start"])
 
-    runs = rows.where("h = 0").select("sign", "doc", "copy", "at", "around").mapInArrow(explode, f"sign bigint, run bigint, doc {kind}, copy bigint, start bigint")
+    runs = rows.where("h = 0").select("sign", "doc", "copy", "at", "around").mapInArrow(lean(explode), f"sign bigint, run bigint, doc {kind}, copy bigint, start bigint")
     firsts = runs.groupBy("sign", "run").agg(F.min(F.struct("doc", "copy", "start")).alias("first"), F.max(F.struct("doc", "copy")).alias("last")).where("first.doc <> last.doc OR first.copy <> last.copy")
     held = runs.join(firsts.select("sign", "run", "first"), ["sign", "run"]).where("doc <> first.doc OR copy <> first.copy")
     exact = held.select("doc", "copy", "start", F.lit(LEAST).cast("bigint").alias("n"), F.col("first.doc").alias("source"), F.col("first.copy").alias("source_copy"), F.col("first.start").alias("source_start"), F.lit(1.0).alias("similarity"), F.lit(0).cast("tinyint").alias("h"))
@@ -517,7 +515,7 @@ def hot_links(rows: DataFrame, scratch: Scratch) -> DataFrame:
             row, keys = anchors(around, b.column(0).to_numpy().view(np.uint64))
             yield pa.record_batch([pa.array(keys.view(np.int64)), *(c.take(pa.array(row)) for c in b.columns)], ["key", *b.schema.names])
 
-    keyed = rows.select("sign", "doc", "copy", "h", "at", "around").mapInArrow(pick, f"key bigint, sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
+    keyed = rows.select("sign", "doc", "copy", "h", "at", "around").mapInArrow(lean(pick), f"key bigint, sign bigint, doc {kind}, copy bigint, h tinyint, at int, around binary")
     shared = keyed.groupBy("key").agg(F.min(F.struct("doc", "copy")).alias("a"), F.max(F.struct("doc", "copy")).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("key", "n")
     shared = scratch.table(shared, "anchors")
     keyed = scratch.table(_among(keyed, [F.col("key")], shared.select("key"), scratch, "anchor_keys").join(shared, "key"), "keyed")
@@ -575,7 +573,7 @@ def merged(links: DataFrame) -> DataFrame:
             columns = [b.column(0).take(which), b.column(1).take(which), pa.array(start[at]), pa.array(words), ids.take(pick), pa.array(copy[at]), pa.array(last[:, 2].astype(np.int64)), pa.array(last[:, 1])]
             yield pa.record_batch(columns, ["doc", "copy", "start", "n_words", "source", "source_copy", "source_start", "similarity"])
 
-    return own.mapInArrow(run, f"doc {kind}, copy bigint, start bigint, n_words bigint, source {kind}, source_copy bigint, source_start bigint, similarity double")
+    return own.mapInArrow(lean(run), f"doc {kind}, copy bigint, start bigint, n_words bigint, source {kind}, source_copy bigint, source_start bigint, similarity double")
 
 
 def _outermost(row: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -699,4 +697,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns = [pa.array(kept, pa.string()) if k == at else c for k, c in enumerate(b.columns[:last])]
             yield pa.record_batch(columns, b.schema.names[:last]).filter(pa.array(alive))
 
-    return joined.mapInArrow(shorten, docs.schema)
+    return joined.mapInArrow(lean(shorten), docs.schema)
