@@ -11,37 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
-from .tokens import TOKENIZER, encoder
+from .common import Scratch, lean
+from .common import pieces as slices
+from .tokens import STEP, TOKENIZER, encoder
 
 LIMIT, END_ID = 2048, 0
 #: Pieces in one ranking bucket on average.
 BUCKET = 200_000
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, tokenizer: str = TOKENIZER, with_ids: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids) of every document cut at ``limit`` tokens.
 
     A document is its token ids and then ``end_id``, so null and empty texts give one piece of
-    one token. ``ids`` is binary, little-endian unsigned 32-bit.
+    one token. ``ids`` is binary, little-endian unsigned 32-bit; it is left out, and never leaves
+    the worker, without ``with_ids``.
     """
     kind = dict(docs.dtypes)[id_col]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for b in batches:
+        for b in slices(batches, 1, STEP):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, all_ids in enumerate(encode(b.column(1).cast(pa.binary()).to_pylist())):
                 all_ids += end
                 for k, at in enumerate(range(0, len(all_ids), 4 * limit)):
                     part = all_ids[at : at + 4 * limit]
-                    row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part)), ids.append(part)
-            arrays = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())]
-            yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), *arrays], ["id", "piece", "start", "length", "ids_crc32", "ids"])
+                    row.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
+            arrays = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), *[pa.array(ids, pa.binary())] * with_ids]
+            yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), *arrays], ["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
+    return picked.mapInArrow(lean(run, keep=True), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[int]]]:
@@ -139,6 +143,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed on its own. No documents give no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    sized = pieces(docs, id_col, text_col, limit)
-    sized = sized if with_ids else sized.drop("ids")
-    return pack(scratch.table(sized, "pieces"), limit)
+    return pack(scratch.table(pieces(docs, id_col, text_col, limit, with_ids=with_ids), "pieces"), limit)

@@ -70,3 +70,9 @@ def test_packing_gives_ids(spark):
     d = spark.createDataFrame([(1, "some words here")], "doc_id bigint, text string")
     row = packing.pack_documents(d, with_ids=True).first()
     assert bytes(row["ids"]) == encoder().encode([b"some words here"])[0] + np.array([0], "<u4").tobytes()
+
+
+def test_packing_keeps_ids_in_the_worker(spark, odd):
+    lean, full = packing.pieces(odd, with_ids=False), packing.pieces(odd)
+    assert full.columns == [*lean.columns, "ids"] and "ids" not in packing.pack_documents(odd).columns
+    assert rows(lean, *lean.columns) == rows(full, *lean.columns)
