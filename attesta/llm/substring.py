@@ -39,6 +39,8 @@ ANCHORED, STRETCH, PICK = 20, 16, 5
 FEW = 64
 #: Words by which one passage may be shifted against the other within REACH of a minimum.
 SHIFT = 3
+#: Tokens that two runs of SIMILARITY and LEAST tokens share at least: k of l, with k / (2 l - k) at SIMILARITY.
+SHARED = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * LEAST - 1e-9))
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -321,10 +323,11 @@ def exact_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray, at: np.nd
     return row[at_new], at[row[at_new]] - REACH + step[at_new], n, source[at_new], at[source[at_new]] - REACH + place[at_new]
 
 
-def near_spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def near_spans(x: np.ndarray, y: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(from, to, from in y, to in y) of each row's longest run around the minimum that may be SIMILARITY like; from > to if there is none.
 
     A token counts as shared if it stands at the same distance from the minimum, give or take SHIFT.
+    Runs are tried only where SHARED tokens are shared and, with ``low`` and ``high``, one of them lies outside these.
     """
     n, shift = len(x), np.full(x.shape, SHIFT + 1, np.int8)
     padded = np.zeros((n, _WIDTH + 2 * SHIFT), x.dtype)
@@ -332,6 +335,18 @@ def near_spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     for d in sorted(range(-SHIFT, SHIFT + 1), key=abs, reverse=True):
         shift[(padded[:, SHIFT + d : SHIFT + d + _WIDTH] == x) & (x != 0)] = d
     shared = shift <= SHIFT
+    start, stop, source, end = np.full(n, 1), np.zeros(n, np.int64), np.full(n, 1), np.zeros(n, np.int64)
+    tried = shared.sum(axis=1) >= SHARED
+    if low is not None:
+        tried &= (shared.argmax(axis=1) < low) | (_WIDTH - 1 - shared[:, ::-1].argmax(axis=1) > high)
+    tried = np.flatnonzero(tried)
+    if len(tried):
+        start[tried], stop[tried], source[tried], end[tried] = _longest(x[tried], shared[tried], shift[tried])
+    return start, stop, source, end
+
+
+def _longest(x: np.ndarray, shared: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(x)
     # of runs of one length, k of l shared, k / (2 l - k) is SIMILARITY or more where the sum below isn't negative
     gain = np.where(shared, 1 - SIMILARITY, np.where(x != 0, -2 * SIMILARITY, -1e6))
     left = np.cumsum(gain[:, REACH - 1 :: -1], axis=1)[:, ::-1]
@@ -376,14 +391,39 @@ def near_links(around: np.ndarray, sign: np.ndarray, doc: np.ndarray) -> tuple[l
         group = np.cumsum(np.concatenate([[0], (np.diff(group[order]) != 0) | (np.diff(part[order]) != 0)]))
     else:
         order = np.arange(n)
-    links, stands = _rounds(around[order], group, doc[order])
+    around, alone = around[order], np.zeros(n, bool)
+    large = np.flatnonzero(np.bincount(group)[group] > FEW) if n else group
+    alone[large] = lonely(around[large], group[large])
+    links, stands = _rounds(around, group, doc[order], alone)
     return [(int(order[i]), a, b, int(order[p]), c, like) for i, a, b, p, c, like in links], order[stands]
 
 
-def _rounds(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
+def lonely(around: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which rows hold fewer than SHARED tokens that any other row of their group holds, lonely rows left out.
+
+    No row can be like them, so those that have no more than a common phrase need no comparison.
+    """
+    out, left = np.zeros(len(group), bool), np.arange(len(group))
+    while len(left):
+        held = around[left]
+        row, at = np.nonzero(held)
+        order = np.lexsort((held[row, at], group[left[row]]))  # stable: rows of a token stand in turn
+        row, token, own = row[order], held[row, at][order], group[left[row]][order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (token[1:] != token[:-1])])[: len(row)])
+        ends = np.concatenate([heads[1:], [len(row)]])[: len(heads)]
+        shared = np.repeat(row[heads] != row[ends - 1], ends - heads)
+        alone = np.bincount(row[shared], minlength=len(left)) < SHARED
+        out[left[alone]] = True
+        if not alone.any():
+            break
+        left = left[~alone]
+    return out
+
+
+def _rounds(around: np.ndarray, group: np.ndarray, doc: np.ndarray, alone: np.ndarray) -> tuple[list[tuple[int, int, int, int, int, float]], np.ndarray]:
     n = len(group)
     label, low, high = np.arange(n), np.full(n, _WIDTH), np.full(n, -1)
-    left, stands, links = np.arange(n), np.zeros(n, bool), []
+    left, stands, links = np.flatnonzero(~alone), alone.copy(), []
     while len(left):
         head = np.concatenate([[True], np.diff(group[left]) != 0])
         pivots = left[head]
@@ -402,7 +442,9 @@ def _rounds(around: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[lis
         more = np.where(equal >= LEAST, same.sum(axis=1) - equal >= SIDE, np.maximum(back, ahead) >= SIDE)
         near = np.flatnonzero(other & more & (room + 2 * SHIFT >= LEAST))
         if len(near):
-            a, b, c, d = near_spans(x[near], y[near])
+            # a run within what the row's links cover adds nothing if both rows are connected already
+            joined = label[row[near]] == label[pivot[near]]
+            a, b, c, d = near_spans(x[near], y[near], np.where(joined, low[row[near]], _WIDTH), np.where(joined, high[row[near]], -1))
             for k in np.flatnonzero((a <= b) & (c <= d)).tolist():
                 i, p = int(row[near[k]]), int(pivot[near[k]])
                 if label[i] == label[p] and low[i] <= a[k] and high[i] >= b[k]:

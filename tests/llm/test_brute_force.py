@@ -635,3 +635,32 @@ def test_op10_sentences_of_the_caller(spark):
 def test_measure_of_odd_texts():
     assert measure(None) == measure("") == ([0] * 5, measure("")[1])
     assert measure("a<b> c")[0] == [2, 5, 2, 0, 0]
+
+
+def test_op4_rows_of_a_common_phrase_cost_no_comparison(monkeypatch):
+    """Rows that share 20 tokens and no more stand, and are never compared; edited copies among them are found."""
+    r, tried = np.random.default_rng(1), []
+    around = r.integers(1, 1 << 24, (400, substring._WIDTH)).astype(np.uint32)
+    around[:, substring.REACH - 10 : substring.REACH + 10] = r.integers(1, 1 << 24, 20)
+    around[300] = around[100]
+    around[300, 30:35] = r.integers(1, 1 << 24, 5)
+    whole = substring.near_spans
+    monkeypatch.setattr(substring, "near_spans", lambda x, y, *a: tried.append(len(x)) or whole(x, y, *a))
+    links, stands = substring.near_links(around, np.full(400, 7, np.int64), np.arange(400))
+    assert [(i, p) for i, _, _, p, _, _ in links] == [(300, 100)] and len(stands) >= 399 and sum(tried) < 10
+
+
+def test_op4_skips_only_runs_that_add_nothing(monkeypatch):
+    """Links are those of trying every pair."""
+    r = np.random.default_rng(2)
+    around = np.repeat(r.integers(1, 1 << 24, (3, substring._WIDTH)).astype(np.uint32), 50, axis=0)[r.permutation(150)]
+    for row in around:
+        for p in (r.integers(24, 42), r.integers(50, 66)):
+            row[p - 4 : p + 1] = r.integers(1, 1 << 24, 5)
+        row[: r.integers(0, 30)] = 0
+    got = substring.near_links(around, np.zeros(150, np.int64), np.arange(150))
+    whole = substring.near_spans
+    monkeypatch.setattr(substring, "near_spans", lambda x, y, *_: whole(x, y))
+    monkeypatch.setattr(substring, "SHARED", 0)
+    want = substring.near_links(around, np.zeros(150, np.int64), np.arange(150))
+    assert len(got[0]) > 20 and got[0] == want[0] and sorted(got[1]) == sorted(want[1])
