@@ -1,16 +1,23 @@
 """Logistic context mixing over the code bits of words, with a unigram baseline beside it.
 
 Each token is a path of binary decisions in a Huffman tree over the commonest words and a few
-buckets for all others. Hashed-context predictors give each decision a log-odds from counts over
+buckets for all others. Context predictors give each decision a log-odds from counts over
 the whole training corpus; weights gated by depth, the same for every text to begin with, combine
 them; within a text they are refined online, block by block, from what was already coded. The log-probabilities of a token's
 decisions add up to its own, so a text's total is its code length in bits.
+
+Each context has counts of its own, however many there are: pairs of a context and a symbol are
+numbered so that a context's symbols lie in order of their codes, tasks ask shards of contexts for
+the pairs in their texts, and the shards answer with the log-odds along each pair's path, once for
+neighbours that share its beginning. Callers
+who rather have no shuffle may give a number of slots; contexts are then hashed into tables of that
+size, which travel to every worker.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,23 +28,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold
+from .common import Scratch, fold, free, lean
 
 HELD_OUT = (7, 2)
 #: Words with a code of their own; all others share BUCKETS codes and are told apart by their counts.
 HEAD, BUCKETS = 131_071, 256
-#: Slots of each hashed context, by the training tokens, and how many of the commonest words serve as long-range context.
+#: Least and most slots of a hashed context that ``slots_for`` advises, and how many of the commonest words serve as long-range context.
 SLOTS, FREQUENT = (1 << 16, 1 << 20), 256
 CONTEXTS, GATES = 3, 16
 #: Weights that each text begins with, by gate: the share of the hashed contexts falls with the depth, as their counts do.
 _TRUST = np.array([0.8] * 10 + [0.75, 0.7, 0.65, 0.55, 0.35, 0.2], np.float32)
 WEIGHTS = np.stack([np.full(GATES, -0.2, np.float32), 0.85 * _TRUST, 0.85 * _TRUST], axis=1)
-#: Decisions that a slot of a hashed context must have seen to count for half.
+#: Decisions that a context must have seen at a node to count for half.
 DOUBT = 3
 #: Slots that are summed together.
 CHUNK = 1 << 14
 #: Tokens between refinements of a text's weights, their rate, and tokens worked on at once.
 BLOCK, RATE, STEP = 64, 1.5, 150_000
+#: Tokens that ask for their pairs together, training tokens to a shard of contexts, and pairs worked on at once.
+UNIT, SHARD, PAIRS = 3_000_000, 2_000_000, 1 << 16
+#: What rows of symbols have in place of a shard; they come after all shards.
+TEXTS = 1 << 30
+#: Log-odds travel rounded to LEVELS steps either side of nothing: 0.02 wide there, a thirtieth of large ones; FINE has their values by the byte.
+LEVELS, BEND, WIDEST = 127, 2.0, 24.0
+_BYTE = np.arange(256, dtype=np.uint8).view(np.int8).astype(float)
+FINE = (np.sinh(_BYTE / LEVELS * np.arcsinh(BEND * WIDEST)) / BEND).astype(np.float32)
+
+
 def coded_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (binary), the number of each word in turn, and where texts begin and end among them."""
     lowered = pa.array([(t or b"").lower() for t in texts], pa.large_binary()).cast(pa.large_string(), safe=False)
@@ -131,8 +148,8 @@ class Codes:
         sym = np.insert(by[index], cuts[1:], end)
         return sym, cuts + np.arange(len(cuts)), distinct, np.insert(index.astype(np.int64), cuts[1:], -1)
 
-    def slots(self, sym: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
-        """Hashes of each token's contexts: none, the word before, the last frequent word before."""
+    def contexts(self, sym: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's contexts: the word before (0: none, else its symbol + 1) and the last frequent word before (none: the number of symbols)."""
         n = len(sym)
         first = np.zeros(n, bool)
         first[cuts[:-1]] = True
@@ -142,6 +159,11 @@ class Codes:
         at = np.concatenate([[-1], at[:-1]])
         known = at >= np.repeat(cuts[:-1], np.diff(cuts))
         far = np.where(known, sym[at], len(self.length)).astype(np.uint32)
+        return before, far
+
+    def slots(self, sym: np.ndarray, cuts: np.ndarray) -> Iterator[np.ndarray]:
+        """Hashes of each token's contexts."""
+        before, far = self.contexts(sym, cuts)
         yield before * np.uint32(0x9E3779B1)
         yield far * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
 
@@ -152,7 +174,7 @@ class Codes:
 
 
 def slots_for(tokens: int) -> int:
-    """Slots for a corpus: one for each four tokens, in powers of two, within what goes to every worker."""
+    """Slots to give to ``score_texts`` for tables that go to every worker: one for each four tokens, in powers of two and within bounds."""
     least, most = SLOTS
     return min(most, max(least, 1 << (max(1, tokens) // 4).bit_length()))
 
@@ -211,6 +233,205 @@ def stretch(n0: np.ndarray, n1: np.ndarray, doubt: float = 0) -> np.ndarray:
     return (np.log((n1 + 0.4) / (n0 + 0.4)) * (n0 + n1) / np.maximum(n0 + n1 + doubt, 1)).astype(np.float32)
 
 
+def node_odds(codes: Codes, seen: np.ndarray) -> np.ndarray:
+    """Log-odds of each decision without context, from how often each symbol was seen."""
+    by = np.bincount(codes.path, weights=np.repeat(seen, codes.length), minlength=2 * len(codes.gate))
+    return stretch(by[0::2], by[1::2])
+
+
+def coarse(odds: np.ndarray) -> np.ndarray:
+    """Log-odds rounded to a byte, the same for either sign."""
+    return np.rint(np.arcsinh(np.clip(odds, -WIDEST, WIDEST) * BEND) * (LEVELS / np.arcsinh(BEND * WIDEST))).astype(np.int8)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, empty upper ones left out, compressed."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    used = 1 + max(np.flatnonzero(planes.any(axis=1)).tolist(), default=0)
+    return len(a).to_bytes(8, "little") + bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: str) -> np.ndarray:
+    n, used = int.from_bytes(raw[:8], "little"), raw[8]
+    a = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    a[:, :used] = np.frombuffer(pa.decompress(raw[9:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return a.view(kind).reshape(n)
+
+
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+
+
+@dataclass
+class Pairs:
+    """Numbers for pairs of a context and a symbol: the context's times the number of symbols, and the
+    rank of the symbol's code. A node's symbols lie side by side in a context, so do a shard's contexts."""
+
+    rank: np.ndarray  # by symbol
+    code: np.ndarray  # bits from the top, by rank
+    length: np.ndarray  # by rank
+    shards: np.ndarray  # first pair of each shard
+
+    @classmethod
+    def build(cls, codes: Codes, seen: np.ndarray, shards: int) -> Pairs:
+        depth = np.arange(len(codes.path)) - np.repeat(codes.start, codes.length)
+        code = np.bitwise_or.reduceat((codes.path & 1).astype(np.uint64) << (63 - depth).astype(np.uint64), codes.start)
+        order = np.argsort(code)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # Shards have like numbers of distinct pairs, which grow less than a context's tokens do.
+        end = len(codes.counts) - 1
+        far = np.zeros(FREQUENT + 1)
+        far[: min(FREQUENT, end)] = seen[: min(FREQUENT, end)]
+        far *= seen.sum() / max(1, far.sum())
+        much = np.cumsum(np.concatenate([seen[end : end + 1], seen, far]) ** 0.75)
+        first = np.unique(np.searchsorted(much, much[-1] * np.arange(1, shards) / shards))
+        return cls(rank, code[order], codes.length[order], np.concatenate([[0], first[first > 0]]) * len(order))
+
+    def of(self, codes: Codes, sym: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+        """Pairs of each token with the word before it and with the last frequent word."""
+        before, far = codes.contexts(sym, cuts)
+        n = len(self.rank)
+        return [before.astype(np.int64) * n + self.rank[sym], (n + 1 + np.minimum(far, FREQUENT).astype(np.int64)) * n + self.rank[sym]]
+
+    def cuts(self, keys: np.ndarray) -> np.ndarray:
+        """Where the shards begin and end in sorted pairs."""
+        return np.append(np.searchsorted(keys, self.shards), len(keys))
+
+    def shared(self, keys: np.ndarray) -> np.ndarray:
+        """How many first decisions of each pair's path are at nodes that the pair before it passed in the same context."""
+        context, rank = keys // len(self.rank), keys % len(self.rank)
+        differ = self.code[rank[1:]] ^ self.code[rank[:-1]]
+        high = (differ >> np.uint64(32)).astype(float)
+        low = (differ & np.uint64(0xFFFFFFFF)).astype(float)
+        same = 1 + np.where(high > 0, 32 - np.frexp(high)[1], 64 - np.frexp(low)[1])
+        return np.concatenate([[0], np.where(context[1:] == context[:-1], same, 0)])[: len(keys)]
+
+    def blocks(self, keys: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of sorted pairs, of whole contexts and bounded size."""
+        begins = np.flatnonzero(np.diff(keys // len(self.rank), prepend=-1))
+        if len(begins):
+            cuts = np.unique(np.append(begins[np.searchsorted(begins, np.arange(0, begins[-1] + 1, PAIRS))], len(keys))).tolist()
+            yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+    def odds(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log-odds (coarse) of the decisions taken along the paths of sorted distinct pairs, laid end to end,
+        from the counts of all pairs of the same contexts."""
+        parts = [np.zeros(0, np.int8)]
+        for a, b in self.blocks(keys):
+            shared, length, n = self.shared(keys[a:b]), self.length[keys[a:b] % len(self.rank)], counts[a:b]
+            out = np.zeros((int(length.max()), b - a), np.int8)
+            above = np.flatnonzero(shared == 0)
+            total = np.add.reduceat(n, above)
+            for d in range(len(out)):  # pairs that take the same way at a node lie side by side
+                heads = np.flatnonzero(shared <= d + 1)
+                own = np.add.reduceat(n, heads)
+                node = total[np.searchsorted(above, heads, "right") - 1]
+                out[d] = np.repeat(coarse(stretch(node - own, own, DOUBT)), np.diff(np.append(heads, b - a)))
+                above, total = heads, own
+            parts.append(out.T[np.arange(len(out)) < length[:, None]])
+        return np.concatenate(parts)
+
+    def spread(self, keys: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """Log-odds (coarse) of ones along the paths of sorted distinct pairs, laid end to end, from those of the
+        decisions taken at nodes that aren't shared with the pair before."""
+        parts, begin = [np.zeros(0, np.int8)], 0
+        for a, b in self.blocks(keys):
+            rank = keys[a:b] % len(self.rank)
+            shared, length = self.shared(keys[a:b]), self.length[rank]
+            depth = np.arange(int(length.max()))
+            own = (depth >= shared[:, None]) & (depth < length[:, None])
+            one = (self.code[rank][:, None] >> (63 - depth).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out, n = np.zeros(own.shape, np.int8), int(own.sum())
+            out[own] = taken[begin : begin + n] * np.where(one[own], np.int8(1), np.int8(-1))
+            begin += n
+            for d in depth.tolist():
+                out[:, d] = out[np.maximum.accumulate(np.where(shared <= d, np.arange(b - a), 0)), d]
+            parts.append(out[depth < length[:, None]])
+        return np.concatenate(parts)
+
+
+def answers(pairs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (shard, again, unit, keys, counts), sorted by the first two: each unit's pairs of a shard twice, first to be
+    counted, then to be answered. Memory goes by the distinct pairs of a shard, not by how many units ask for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shard, size = pairs.value, None, 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        odds = None
+        for b in batches:
+            for k, again, unit, raw, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != shard:
+                    shard, size, parts, odds = k, 0, [], None
+                keys = np.cumsum(unpack(raw, "<i8"))
+                if not again:
+                    parts.append((keys, unpack(counts, "<i8")))
+                    size += len(keys)
+                    if size > 2 * len(parts[0][0]) + 16 * PAIRS:
+                        parts = [summed(*map(np.concatenate, zip(*parts, strict=True)))]
+                        size = len(parts[0][0])
+                    continue
+                if odds is None:
+                    known, n = summed(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts, odds, length = [], own.odds(known, n), own.length[known % len(own.rank)]
+                    start = np.cumsum(length) - length
+                at, shared = np.searchsorted(known, keys), own.shared(keys)
+                yield pa.record_batch(
+                    [pa.array([unit]), pa.array([k], pa.int32()), pa.array([pack(odds[ragged(start[at] + shared, length[at] - shared)])], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int64())],
+                    ["unit", "shard", "keys", "counts", "row"],
+                )
+
+    return lean(run)
+
+
+def unit_logs(mixer, pairs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, logs) from (unit, shard, keys, counts, row), sorted by the first two: a unit's answers, then its texts' symbols."""
+
+    def score(odds: list[bytes], texts: list[tuple[np.ndarray, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        own, codes = pairs.value, mixer.value.codes
+        at, asked, end = [], [], 0
+        for kind in range(CONTEXTS - 1):  # the contexts of a kind follow those of the other
+            distinct, place = np.unique(np.concatenate([own.of(codes, sym, cuts)[kind] for sym, cuts, _ in texts]), return_inverse=True)
+            length = own.length[distinct % len(own.rank)]
+            at.append((end + np.cumsum(length) - length).astype(np.int32)[place])
+            end += int(length.sum())
+            asked.append(distinct)
+            del place
+        found = own.spread(np.concatenate(asked), np.concatenate([unpack(o, "i1") for o in odds])).view(np.uint8)
+        odds.clear()
+        begin = 0
+        for sym, cuts, row in texts:
+            logs = mixer.value.score(sym, cuts, (found, [a[begin : begin + len(sym)] for a in at])) / np.log(10)
+            begin += len(sym)
+            yield pa.record_batch([pa.array(np.arange(row, row + len(logs))), pa.array(logs)], ["row", "logs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, odds, texts = None, [], []
+        for b in batches:
+            for u, shard, raw, cuts, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if u != unit and texts:
+                    yield from score(odds, texts)
+                    odds, texts = [], []
+                unit = u
+                if shard < TEXTS:
+                    odds.append(raw)
+                else:
+                    texts.append((unpack(raw, "<i4"), np.cumsum(unpack(cuts, "<i8")), row))
+        if texts:
+            yield from score(odds, texts)
+
+    return lean(run)
+
+
 @dataclass
 class Mixer:
     codes: Codes
@@ -219,8 +440,9 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: WEIGHTS)
     rate: float = RATE
 
-    def score(self, sym: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each text's symbols.
+    def score(self, sym: np.ndarray, cuts: np.ndarray, found: tuple[np.ndarray, list[np.ndarray]] | None = None) -> np.ndarray:
+        """Natural log-probability of each text's symbols; ``found`` has log-odds of decisions, and
+        where each token's begin by context, in place of hashed slots.
 
         All texts move on together, a block of tokens at a time; a block is coded with weights that
         only earlier blocks of the same text have refined.
@@ -229,10 +451,13 @@ class Mixer:
         doc = np.repeat(np.arange(len(lengths)), lengths)
         block = (np.arange(len(sym)) - np.repeat(cuts[:-1], lengths)) // BLOCK
         order = np.argsort(block, kind="stable")
-        hashes = [h[order] for h in self.codes.slots(sym, cuts)]
         path, n = self.codes.bits(sym[order])
         node, sign = path >> 1, (1 - 2 * (path & 1)).astype(np.float32)
-        x = [t[s] for t, s in zip(self.stretched, context_slots(node, hashes, n, self.slots), strict=True)]
+        if found:
+            x = [self.stretched[0][node], *(FINE[found[0][ragged(at[order].astype(np.int64), n)]] for at in found[1])]
+        else:
+            hashes = [h[order] for h in self.codes.slots(sym, cuts)]
+            x = [t[s] for t, s in zip(self.stretched, context_slots(node, hashes, n, self.slots), strict=True)]
         gate = self.codes.gate[node]
         z = sum(xk * self.weights[:, k][gate] for k, xk in enumerate(x))
         ends = np.cumsum(n)
@@ -261,14 +486,15 @@ class Mixer:
         return total
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int | None = None) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Counts come from all rows outside the held-out fold. base_score is the log10 probability under
     add-one smoothed token counts, score that of the mixed model; both treat an unknown word as one
     event. Common words' counts travel by broadcast (HEAD of them); all others are joined by token.
     Null texts count as empty, hence as one end token. No documents give no rows; repeated rows are
-    scored alike, rows that share an id each by their own text; other columns don't matter.
+    scored alike, rows that share an id each by their own text; other columns don't matter. Each
+    context has its own counts unless ``slots`` (a power of two) has them hashed.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -298,21 +524,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per = {r["bucket"]: (r["c"], r["once"]) for r in tail.groupBy("bucket").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()}
     mass = np.array([per.get(k, (0, 0)) for k in range(BUCKETS)], float)
     codes = Codes.build(top, ends, (mass[:, 0] + mass[:, 1]).astype(np.int64))
-    shipped = spark.sparkContext.broadcast(codes)
-    slots = slots_for(int(n_train or 0))
-    mixer = spark.sparkContext.broadcast(Mixer(codes, slot_tables(train, shipped, slots, len(codes.gate)), slots))
+    shipped, pairs = spark.sparkContext.broadcast(codes), None
+    seen = np.concatenate([codes.counts, mass[:, 0]])
+    if slots:
+        mixer = spark.sparkContext.broadcast(Mixer(codes, slot_tables(train, shipped, slots, len(codes.gate)), slots))
+    else:
+        mixer = spark.sparkContext.broadcast(Mixer(codes, [node_odds(codes, seen)], 0))
+        pairs = spark.sparkContext.broadcast(Pairs.build(codes, seen, 1 + int(n_train or 0) // SHARD))
     del top_rows, sizes
     head_logs = np.log10(codes.counts + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, nth = mixer.value, TaskContext.get().partitionId() << 40
         end_symbol = len(own.codes.counts) - 1
+        unit, size = nth, 0
+        asked: list[list[np.ndarray]] = []
         for b in batches:
             texts = b.column(2).cast(pa.binary()).to_pylist()
             parts = []
             for lo, hi in steps(texts):
                 sym, cuts, distinct_words, index = own.codes.tokens(texts[lo:hi])
-                logs = own.score(sym, cuts) / np.log(10)
+                if slots:
+                    logs = own.score(sym, cuts) / np.log(10)
+                else:
+                    if size > UNIT:
+                        yield from requests(b, unit, asked)
+                        unit, size, asked = nth + lo, 0, []
+                    yield whole_rows(b, {"unit": pa.array([unit]), "shard": pa.array([TEXTS], pa.int32()), "keys": pa.array([pack(sym.astype("<i4"))], pa.binary()), "counts": pa.array([pack(np.diff(cuts, prepend=0).astype("<i8"))], pa.binary()), "row": pa.array([nth + lo])})
+                    learnt = np.repeat(~b.column(1)[lo:hi].to_numpy(zero_copy_only=False), np.diff(cuts))
+                    asked.append([k * 2 + learnt for k in pairs.value.of(own.codes, sym, cuts)])
+                    size += len(sym)
+                    logs = np.zeros(hi - lo)
                 plain = sym <= end_symbol
                 base = np.add.reduceat(np.where(plain, head_logs[np.minimum(sym, end_symbol)], 0.0), cuts[:-1])
                 known = np.add.reduceat((plain & (codes_known[np.minimum(sym, end_symbol)])).astype(np.int64), cuts[:-1])
@@ -331,11 +573,46 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             arrays = [pa.array(row), b.column(0), b.column(1), pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3])]
             arrays += [pa.concat_arrays([p[i] for p in parts]) for i in (4, 5, 6)]
             arrays.append(pa.array([len(t or b"") for t in texts], pa.int64()))
-            yield pa.record_batch(arrays, ["row", "id", "held_out", "n_tokens", "known", "base", "logs", "words", "times", "buckets", "bytes"])
+            yield whole_rows(b, dict(zip(["row", "id", "held_out", "n_tokens", "known", "base", "logs", "words", "times", "buckets", "bytes"], arrays, strict=True)))
+        if asked:
+            yield from requests(b, unit, asked)
+
+    def whole_rows(b: pa.RecordBatch, given: dict[str, pa.Array]) -> pa.RecordBatch:
+        """Rows of texts, of symbols or of pairs, with nulls for what the others have."""
+        types = {
+            "row": pa.int64(), "id": b.column(0).type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "logs": pa.float64(), "words": pa.list_(pa.binary()),
+            "times": pa.list_(pa.int32()), "buckets": pa.list_(pa.int32()), "bytes": pa.int64(), "unit": pa.int64(), "shard": pa.int32(), "keys": pa.binary(), "counts": pa.binary(),
+        }
+        n = len(next(iter(given.values())))
+        return pa.record_batch([given[k] if k in given else pa.nulls(n, t) for k, t in types.items()], list(types))
+
+    def requests(b: pa.RecordBatch, unit: int, asked: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for kind_of in zip(*asked, strict=True):  # the contexts of a kind follow those of the other
+            both = np.concatenate(kind_of)
+            both.sort()
+            heads = np.flatnonzero(np.diff(both >> 1, prepend=-1))
+            parts.append((both[heads] >> 1, np.add.reduceat(both & 1, heads)))
+        keys, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+        cuts = pairs.value.cuts(keys).tolist()
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if lo < hi:
+                yield whole_rows(b, {"unit": pa.array([unit]), "shard": pa.array([k], pa.int32()), "keys": pa.array([pack(np.diff(keys[lo:hi], prepend=0))], pa.binary()), "counts": pa.array([pack(counts[lo:hi])], pa.binary())})
 
     codes_known = codes.counts > 0
-    schema = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, logs double, words array<binary>, times array<int>, buckets array<int>, bytes bigint"
-    scored = scratch.table(rows.mapInArrow(run, schema), "scored")
+    schema = f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, logs double, words array<binary>, times array<int>, buckets array<int>, bytes bigint, unit bigint, shard int, keys binary, counts binary"
+    coded = scratch.table(rows.mapInArrow(lean(run), schema), "coded")
+    scored = coded.where("shard IS NULL").drop("unit", "shard", "keys", "counts")
+    if not slots:
+        free(spark)
+        tasks = len(pairs.value.shards)
+        twice = coded.where(F.col("shard") < TEXTS).withColumn("again", F.explode(F.array(F.lit(False), F.lit(True)))).select("shard", "again", "unit", "keys", F.when(~F.col("again"), F.col("counts")).alias("counts"))
+        found = twice.repartitionById(tasks, "shard").sortWithinPartitions("shard", "again").mapInArrow(answers(pairs), "unit bigint, shard int, keys binary, counts binary, row bigint")
+        symbols = coded.where(F.col("shard") == TEXTS).select("unit", "shard", "keys", "counts", "row")
+        by_unit = found.unionByName(symbols).repartition(2 * tasks, "unit").sortWithinPartitions("unit", "shard", "row")
+        logs = scratch.table(by_unit.mapInArrow(unit_logs(mixer, pairs), "row bigint, logs double"), "logs")
+        scored = scored.drop("logs").join(logs, "row")
+        free(spark)
     # What is known of the words without a code: their count, and their share of their bucket, of
     # which as much is left to unknown words as words seen once make up.
     masses = spark.createDataFrame([(k, float(c), float(once)) for k, (c, once) in enumerate(mass.tolist())], "bucket int, mass double, once double")

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import random
 import re
 import zlib
 
@@ -420,6 +421,72 @@ def test_slot_tables_by_brute_force(spark, monkeypatch):
         assert not any(got[k][s] for s in set(range(len(got[k]))) - seen)
 
 
+def test_mixing_counts_every_context_by_itself(spark, monkeypatch):
+    """Scores of all texts, with few slots to share, several units and shards, as plain loops over dictionaries find them."""
+    for name, value in (("SLOTS", (16, 16)), ("HEAD", 40), ("UNIT", 500), ("SHARD", 700)):
+        monkeypatch.setattr(mixing, name, value, raising=False)
+    r = random.Random(3)
+    word = lambda: f"w{min(r.randrange(1, 90), r.randrange(1, 90), r.randrange(1, 90))}"
+    texts = {i: " ".join(word() for _ in range(r.choice([0, 1, 5, 40, 150, 300]))) for i in range(60)}
+    texts |= {61: None, 62: "never seen before w1 w2"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {d: (h, v) for d, h, v in rows(mixing.score_texts(docs), "id", "held_out", "score")}
+    train = [(t or "").split() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for t in train for w in t)
+    sizes = collections.Counter(c.values())
+    least = min(n for n in sizes if sum(sizes[k] for k in sizes if k >= n) <= mixing.HEAD)
+    top = sorted(((w.encode(), n) for w, n in c.items() if n >= least), key=lambda x: (-x[1], x[0]))
+    mass, once = np.zeros(mixing.BUCKETS, np.int64), np.zeros(mixing.BUCKETS, np.int64)
+    for w, n in c.items():
+        if n < least:
+            mass[mixing.bucket(w.encode())] += n
+            once[mixing.bucket(w.encode())] += n == 1
+    codes = mixing.Codes.build(top, len(train), mass + once)
+    end = len(top)
+    symbol = lambda w: codes.symbols.get(w.encode(), end + 1 + mixing.bucket(w.encode()))
+
+    def decisions(words):
+        before = far = None
+        for s in [*map(symbol, words), end]:
+            yield [(int(p) >> 1, int(p) & 1, (None, before, far)) for p in codes.path[codes.start[s] : codes.start[s] + codes.length[s]]]
+            before, far = s, s if s < min(mixing.FREQUENT, end) else far
+
+    seen = collections.Counter((k, own[k], node, bit) for t in train for path in decisions(t) for node, bit, own in path for k in range(3))
+
+    def odds(k, context, node):
+        n0, n1 = seen[k, context, node, 0], seen[k, context, node, 1]
+        return math.log((n1 + 0.4) / (n0 + 0.4)) * (n0 + n1) / max(1, n0 + n1 + (mixing.DOUBT if k else 0))
+
+    for i, text in texts.items():
+        words = (text or "").split()
+        paths, shift, total = list(decisions(words)), [0.0] * 3, 0.0
+        for a in range(0, len(paths), mixing.BLOCK):
+            moves, n = [0.0] * 3, 0
+            for node, bit, own in (d for path in paths[a : a + mixing.BLOCK] for d in path):
+                x = [odds(k, own[k], node) for k in range(3)]
+                p = 1 / (1 + math.exp(-sum(v * (mixing.WEIGHTS[codes.gate[node], k] + shift[k]) for k, v in enumerate(x))))
+                total += math.log10(p if bit else 1 - p)
+                moves, n = [m + v * (bit - p) for m, v in zip(moves, x)], n + 1
+            shift = [s + mixing.RATE * m / (8 * n) for s, m in zip(shift, moves)]
+        for w in words:
+            if w.encode() not in codes.symbols:
+                k = mixing.bucket(w.encode())
+                unknown = (once[k] + 1) / (mass[k] + once[k] + 2)
+                total += math.log10((1 - unknown) * c[w] / mass[k] if c[w] else unknown)
+        assert math.isclose(got[i][1], total, rel_tol=1e-2), (i, got[i], total)
+
+
+def test_pairs_packed_and_summed():
+    r = np.random.default_rng(1)
+    for a in (np.zeros(0, np.int64), np.zeros(3, np.int64), np.array([0, 255, 256, 1 << 40]), r.integers(0, 1 << 20, 100).astype("<i4"), r.normal(0, 9, 50).astype("<f2")):
+        assert np.array_equal(mixing.unpack(mixing.pack(a), a.dtype.str), a)
+    odds = np.linspace(-24, 24, 4801)
+    assert np.array_equal(mixing.coarse(-odds), -mixing.coarse(odds))
+    assert np.all(np.abs(mixing.FINE[mixing.coarse(odds).view(np.uint8)] - odds) <= 0.01 + np.abs(odds) / 50)
+    keys, n = mixing.summed(np.array([5, 2, 5, 9]), np.array([1, 2, 3, 0]))
+    assert keys.tolist() == [2, 5, 9] and n.tolist() == [2, 4, 0]
+
+
 def test_op8(spark, sf, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     n = sorted(len(tok.encode(t, add_special_tokens=False).ids) for t in texts.values())
