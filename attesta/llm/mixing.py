@@ -46,7 +46,7 @@ CHUNK = 1 << 14
 #: Tokens between refinements of a text's weights, their rate, and tokens worked on at once.
 BLOCK, RATE, STEP = 64, 1.5, 150_000
 #: Tokens that ask for their pairs together, training tokens to a shard of contexts, and pairs worked on at once.
-UNIT, SHARD, PAIRS = 3_000_000, 2_000_000, 1 << 16
+UNIT, SHARD, PAIRS = 1_500_000, 2_000_000, 1 << 16
 #: What rows of symbols have in place of a shard; they come after all shards.
 TEXTS = 1 << 30
 #: Log-odds travel rounded to LEVELS steps either side of nothing: 0.02 wide there, a thirtieth of large ones; FINE has their values by the byte.
