@@ -12,14 +12,16 @@ QUESTION = r"(?i)[?？]|^(what|why|how|when|where|which|who|is|are|does|can)\b|
 def implicit_positives(searches: DataFrame, gets: DataFrame, seconds: int = 120) -> DataFrame:
     """(q, file, n): files opened within the time after a search that returned them, first search only counted once.
 
-    ``searches`` (search_id, ts, q, files), ``gets`` (get_id, ts, file). Both sides are keyed by file
-    and a time bucket of the window's length, so the range join is an equi join on two buckets.
+    ``searches`` (search_id, ts, q, files), ``gets`` (get_id, ts, file). The time is taken between
+    rounded seconds. Both sides are keyed by file and a time bucket of the window's length, so the
+    range join is an equi join on two buckets.
     """
+    second = lambda c: F.rint(F.unix_micros(c.cast("timestamp")) / 1e6).cast("bigint")
     s = searches.select("search_id", F.col("ts").alias("s_ts"), "q", F.explode(F.array_distinct("files")).alias("file"))
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / seconds)
+    bucket = lambda c: F.floor(second(c) / seconds)
     s = s.withColumn("b", F.explode(F.array(bucket(F.col("s_ts")), bucket(F.col("s_ts")) + 1)))
     g = gets.select("get_id", F.col("ts").alias("g_ts"), "file").withColumn("b", bucket(F.col("g_ts")))
-    joined = s.join(g, ["file", "b"]).where((F.col("g_ts") >= F.col("s_ts")) & (F.unix_seconds(F.col("g_ts").cast("timestamp")) - F.unix_seconds(F.col("s_ts").cast("timestamp")) <= seconds))
+    joined = s.join(g, ["file", "b"]).where((F.col("g_ts") >= F.col("s_ts")) & (second(F.col("g_ts")) - second(F.col("s_ts")) <= seconds))
     first = joined.withColumn("n", F.row_number().over(Window.partitionBy("get_id").orderBy(F.desc("s_ts"), "search_id"))).where("n = 1")
     return first.select("search_id", "q", "file").distinct().groupBy("q", "file").agg(F.count(F.lit(1)).alias("n"))
 

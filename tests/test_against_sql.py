@@ -26,3 +26,11 @@ def test_customers_that_are_no_years(spark, tmp_path):
     orders = [(k, 1995, "O", 10.0, day, "1-URGENT") for k in range(8)]
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
     assert (1, "missing_year") in assert_same(spark, tmp_path, "C16_review_reasons", orders=(orders, schema))
+
+
+def test_seconds_are_rounded(spark, tmp_path):
+    """Reads 120 s after a search by rounded seconds, on either side of a half."""
+    at = [(0, 0.4), (1, 120.6), (2, 1000.6), (3, 1121.4), (4, 2000.5), (5, 2120.5), (6, 3000.5), (7, 3121.5), (8, 4001.5), (9, 4121.5), (10, 4991.6), (11, 5112.3), (12, 5999.7), (13, 6120.4)]
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(seconds=s), 7, "view", 1.0, "{}") for i, s in at]
+    assert_same(spark, tmp_path, "D08_search_then_get", events=(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"))
