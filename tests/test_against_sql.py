@@ -34,3 +34,10 @@ def test_seconds_are_rounded(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     events = [(i, start + datetime.timedelta(seconds=s), 7, "view", 1.0, "{}") for i, s in at]
     assert_same(spark, tmp_path, "D08_search_then_get", events=(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"))
+
+
+def test_documents_without_words(spark, tmp_path):
+    texts = ["", " \n", None, "a b", "a\vb c", " x y", " lead and trail\t"]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    got = assert_same(spark, tmp_path, "M01_tokenizer_switch", documents=(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert {(0, 0), (2, None), (4, 2)} <= got
