@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -164,3 +167,16 @@ def test_headings_that_begin_alike(spark):
     c = spark.createDataFrame([("1", "case", "f", "Intro", "a", None), ("2", "case", "f", "Intro two", "b", None), ("3", "case", "f", "Other", "c", None), ("4", "case", "f", "Otter", "d", None)], "chunk_id string, source string, file string, heading string, body string, purpose string")
     e = Engine(spark, c)
     assert [rows(e.get("f", h), "chunk_id") for h in ("Intro", "Intro t", "Ot", "None")] == [[("1",)], [("2",)], [], []]
+
+
+def test_evidence_carries_bodies_once(spark):
+    """Bodies are joined with the passages chosen; no window or aggregate before that sees them. The overlap counts repeats."""
+    long = [(50 + i, "case", "long.md", "h", f"part {i} " + ("needle " if i == 6 else "hay ") * 300, "knowledge") for i in range(12)]
+    q = spark.createDataFrame([(1, "needle part 6", "long.md"), (2, "fox", "a.md"), (2, "dogs", "b.md"), (3, "absent", "long.md")], "query_id bigint, q string, file string")
+    got = Engine(spark, notes(spark, long)).evidence(q, 6000, 2)
+    assert {(1, "long.md", 6), (2, "a.md", 0), (2, "b.md", 0)} <= set(rows(got, "query_id", "file", "ordinal")) and not got.where("query_id = 3").count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if ("Window [" in line or "Aggregate [" in line) and "body#" in line]
+    pairs = spark.createDataFrame([("a b a", "x a A b"), ("a", "none"), (None, "a"), ("a", None), ("字中", "字中 字中")], "q string, text string")
+    want = [2 * math.log1p(2) + math.log1p(1), 0, 0, 0, math.log1p(2)]
+    assert sorted(r[0] for r in rows(lexical.overlap_scores(pairs), "score")) == pytest.approx(sorted(want))
