@@ -77,3 +77,17 @@ def test_pieces_are_of_whole_rows(monkeypatch):
         for i, j in parts:
             assert j == 30 or row[j] != row[j - 1]
             assert times[i:j].sum() <= 10 or row[i] == row[j - 1]
+
+
+def test_compounds_are_those_of_the_columns(spark):
+    from attesta.functions import text
+
+    texts = ["Café ＡＢＣ-１ x_y.z", "SYN-DL-88231-40117. pay 128,500.00, 1,234 and 12,34", "中文字 字 a中b", "straße Œuvre é 1́", "--- ./: a--b _a_", "", None, "1,000,000.5 a.b.a.bb.bb 9,999,99 ٣,٣٣٣"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {i: (Counter([*(w or []), *(a or [])]), len(w or [])) for i, w, a in df.select("i", text.compound_tokens(F.col("t")), text.alternates(F.col("t"))).collect()}
+    got = {i: Counter() for i in range(len(texts))}
+    for a, b, terms, of, n in batch.compounds(pa.array(texts, pa.string())):
+        for t, i in zip(terms.to_pylist(), of, strict=True):
+            got[a + i][t] += 1
+        assert [want[i][1] for i in range(a, b)] == list(n)
+    assert got == {i: c for i, (c, _) in want.items()}
